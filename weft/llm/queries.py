@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import language, mixing, pieces, secrets, sharding, simhash
+from weft.llm import ann, katz, language, mixing, pieces, quality, secrets, sharding, simhash, urls
 from weft.llm.texts import remainder
 
 
@@ -48,13 +48,34 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), remainder(F.col("doc_id"), 7) == 2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
+    "op3_ann": op3_ann,
     "op4_pieces": op4_pieces,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_language": op7_language,
+    "op8_katz": op8_katz,
+    "op9_quality": op9_quality,
+    "op10_urls": op10_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {}
