@@ -31,7 +31,7 @@ from weft.staging import stage
 SHINGLE = 3
 BUDGET = 2
 #: Fingerprints in a cell: at least this many, and never more than MAX_CELLS cells in all.
-MIN_CELL, MAX_CELLS = 8192, 65_536
+MIN_CELL, MAX_CELLS = 1024, 65_536
 _CHUNK = 1 << 16
 _FRONTIER = 1 << 18
 
