@@ -1,0 +1,113 @@
+"""Version history as tables: git runs on the driver, the log is parsed with column functions.
+
+Paths come unquoted (``core.quotePath=off``), so names that aren't ASCII match the tree.
+"""
+
+from __future__ import annotations
+
+import io
+import subprocess
+import tarfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.operators import history
+
+_RECORD, _FIELD = "\x1e", "\x1f"
+
+
+class GitError(RuntimeError):
+    """Git is missing, failed, or this is no repository."""
+
+
+def run_git(repo: Path, *args: str, binary: bool = False):
+    command = ["git", "-c", "core.quotePath=off", "-C", str(repo), *args]
+    try:
+        out = subprocess.run(command, capture_output=True, check=True).stdout
+    except FileNotFoundError as e:
+        raise GitError("there is no git executable") from e
+    except subprocess.CalledProcessError as e:
+        raise GitError(f"git {args[0]} failed: {e.stderr.decode(errors='replace').strip()}") from e
+    return out if binary else out.decode(errors="replace")
+
+
+def _succeeds(repo: Path, *args: str) -> bool:
+    try:
+        run_git(repo, *args)
+    except GitError:
+        return False
+    return True
+
+
+def is_git_repo(repo: Path) -> bool:
+    return _succeeds(repo, "rev-parse", "--is-inside-work-tree") and run_git(repo, "rev-parse", "--is-inside-work-tree").strip() == "true"
+
+
+def has_commits(repo: Path) -> bool:
+    return _succeeds(repo, "rev-parse", "--verify", "--quiet", "HEAD")
+
+
+def resolve_rev(repo: Path, rev: str = "HEAD") -> str:
+    return run_git(repo, "rev-parse", "--verify", f"{rev}^{{commit}}").strip()
+
+
+def commit_time(repo: Path, rev: str) -> int:
+    return int(run_git(repo, "show", "-s", "--format=%ct", rev).split()[-1])
+
+
+def files_at(spark: SparkSession, repo: Path, rev: str) -> DataFrame:
+    """(path) of a revision's tree."""
+    names = [n for n in run_git(repo, "ls-tree", "-r", "-z", "--name-only", rev).split("\0") if n]
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
+def parse_log(records: DataFrame) -> DataFrame:
+    """(sha, ts, seq, pos, status, path, old_path) from (seq, record): a header, then tab-separated changes.
+
+    The status is its first letter. Renames and copies have two paths, all others one; lines of another form are dropped.
+    """
+    lines = F.filter(F.split("record", "\n"), lambda x: F.trim(x) != "")
+    head = F.split(F.col("lines")[0], _FIELD)
+    rows = records.select("seq", lines.alias("lines")).where(F.size("lines") > 0)
+    rows = rows.select(head[0].alias("sha"), head[1].cast("bigint").alias("ts"), "seq", F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("pos", "line"))
+    parts = F.split("line", "\t")
+    status = F.left(parts[0], F.lit(1))
+    moved = status.isin("R", "C") & (F.size(parts) == 3)
+    return rows.where(moved | (F.size(parts) == 2)).select("sha", "ts", "seq", "pos", status.alias("status"), F.when(moved, F.get(parts, 2)).otherwise(parts[1]).alias("path"), F.when(moved, parts[1]).alias("old_path"))
+
+
+def read_log(spark: SparkSession, repo: Path, rev_range: str, oldest_first: bool = False) -> DataFrame:
+    """Changes of the commits in a range, merges left out, renames found; newest first unless asked otherwise."""
+    order = ["--reverse"] if oldest_first else []
+    text = run_git(repo, "log", *order, "--no-merges", "-M", "--name-status", f"--format={_RECORD}%H{_FIELD}%ct", rev_range)
+    return parse_log(spark.createDataFrame(list(enumerate(text.split(_RECORD)[1:])), "seq bigint, record string"))
+
+
+def history_until(spark: SparkSession, repo: Path, rev: str, alive: DataFrame, follow_renames: bool = True) -> DataFrame:
+    """(sha, ts, file) of a revision and its ancestors, by the names that files have there."""
+    return history.normalize_backward(read_log(spark, repo, rev), alive, follow_renames)
+
+
+def history_after(spark: SparkSession, repo: Path, rev: str, head: str, alive: DataFrame) -> DataFrame:
+    """(sha, ts, file) of what ``head`` has and ``rev`` hasn't, by the names that files have at ``rev``."""
+    return history.normalize_forward(read_log(spark, repo, f"{rev}..{head}", oldest_first=True), alive)
+
+
+def first_parents(spark: SparkSession, repo: Path) -> DataFrame:
+    """(seq, sha, ts) along the first-parent chain of HEAD, oldest first."""
+    lines = run_git(repo, "log", "--first-parent", "--reverse", "--format=%H %ct", "HEAD").split("\n")
+    rows = [(k, *line.split()) for k, line in enumerate(lines) if line]
+    return spark.createDataFrame([(k, sha, int(ts)) for k, sha, ts in rows], "seq bigint, sha string, ts bigint")
+
+
+def commit_times(spark: SparkSession, repo: Path) -> DataFrame:
+    """(ts) of all commits that aren't merges."""
+    return spark.createDataFrame([(int(t),) for t in run_git(repo, "log", "--no-merges", "--format=%ct", "HEAD").split()], "ts bigint")
+
+
+def export_revision(repo: Path, rev: str, target: Path) -> None:
+    """Write a revision's tree into a folder; the working tree is left alone."""
+    with tarfile.open(fileobj=io.BytesIO(run_git(repo, "archive", "--format=tar", rev, binary=True))) as tar:
+        tar.extractall(target, filter="data")
