@@ -35,4 +35,13 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged._weft_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
