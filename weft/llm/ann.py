@@ -40,10 +40,11 @@ from weft.staging import stage
 TOP = 20
 TREES = 4
 SAMPLE = 65_536
-LEAF = 64  # sampled rows in a leaf
+LEAF = 256  # sampled rows in a leaf
 SHARE = 1.3
 CELL_ROWS = 8192
 QUERY_BLOCK = 4096
+_TOGETHER = 1024  # queries at a time
 
 
 @dataclass
@@ -133,6 +134,26 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim) if len(column) else np.zeros((0, dim))
 
 
+def _best(who: np.ndarray, what: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best of each ``who``, each ``what`` once, ties to the smaller."""
+    order = np.lexsort((-score, what, who))
+    who, what, score = who[order], what[order], score[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
+    who, what, score = who[new], what[new], score[new]
+    order = np.lexsort((what, -score, who))
+    who, what, score = who[order], what[order], score[order]
+    first = np.searchsorted(who, who)
+    few = np.arange(len(who)) - first < most
+    return who[few], what[few], score[few]
+
+
+def _lists(names: np.ndarray, who: np.ndarray, what: np.ndarray, score: np.ndarray) -> pa.Table:
+    """A row for each name (``who`` points to them, in order), with lists."""
+    ends = np.searchsorted(who, np.arange(len(names) + 1)).astype(np.int32)
+    return pa.table({"qid": pa.array(names, pa.int64()), "cids": pa.ListArray.from_arrays(ends, pa.array(what, pa.int64())), "scores": pa.ListArray.from_arrays(ends, pa.array(score, pa.float64()))})
+
+
 def _vectors(table: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
     v = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -185,48 +206,45 @@ def search(
                 for t, leaf in sent.value.probes(q, share):
                     cells.setdefault(t * groups + leaf * groups // len(sent.value.trees[t].sizes), []).append(leaf)
                 m = len(cells)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(cells), pa.int64()), pa.array([block] * m, pa.int64()), pa.array([cid] * m, pa.int64()),
-                        pa.array(list(cells.values()), pa.list_(pa.int64())), pa.array([q.tolist()] * m, pa.list_(pa.float64())),
-                    ],
-                    names=["cell", "block", "qid", "leaves", "q"],
-                )
+                leaves = pa.array(list(cells.values()), pa.list_(pa.int64()))
+                copies = pa.ListArray.from_arrays(np.arange(0, (m + 1) * dim, dim, dtype=np.int32), pa.array(np.tile(q, m)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array([block] * m, pa.int64()), pa.array([cid] * m, pa.int64()), leaves, copies], names=["cell", "block", "qid", "leaves", "q"])
 
     def rank(rows: pa.Table, asking: pa.Table) -> pa.Table:
-        out: dict[int, list[tuple[float, int]]] = {}
-        if rows.num_rows and asking.num_rows:
-            x = _matrix(rows["v"].combine_chunks(), dim)
-            leaf, cid = rows["leaf"].to_numpy(), rows["cid"].to_numpy()
-            order = np.argsort(leaf, kind="stable")
-            x, cid = x[order], cid[order]
-            names, start = np.unique(leaf[order], return_index=True)
-            at = dict(zip(names.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(x)], strict=True), strict=True))
-            q = _matrix(asking["q"].combine_chunks(), dim)
-            wants: dict[int, list[int]] = {}
-            for k, own_leaves in enumerate(asking["leaves"].to_pylist()):
-                for one in own_leaves:
-                    wants.setdefault(one, []).append(k)
-            qid = asking["qid"].to_pylist()
-            for one, who in wants.items():
-                if one not in at:
-                    continue
-                s, e = at[one]
-                scores = q[who] @ x[s:e].T
+        """A row for each query: the best of the leaves of this cell that it asked for."""
+        if not rows.num_rows or not asking.num_rows:
+            return _lists(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        x = _matrix(rows["v"].combine_chunks(), dim)
+        leaf, cid = rows["leaf"].to_numpy(), rows["cid"].to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        x, cid = x[order], cid[order]
+        names, start = np.unique(leaf[order], return_index=True)
+        at = dict(zip(names.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(x)], strict=True), strict=True))
+        q = _matrix(asking["q"].combine_chunks(), dim)
+        wants: dict[int, list[int]] = {}
+        for k, own_leaves in enumerate(asking["leaves"].to_pylist()):
+            for one in own_leaves:
+                wants.setdefault(one, []).append(k)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for one, who in wants.items():
+            s, e = at.get(one, (0, 0))
+            for k in range(0, len(who) if e > s else 0, _TOGETHER):
+                some = np.array(who[k : k + _TOGETHER])
+                scores = q[some] @ x[s:e].T
                 keep = min(top + 1, e - s)
-                for k, row in zip(who, scores, strict=True):
-                    # Ties at the end of the list are all kept.
-                    best = np.nonzero(row >= np.partition(row, len(row) - keep)[len(row) - keep])[0]
-                    found = out.setdefault(k, [])
-                    found += [(-float(row[b]), int(cid[s + b])) for b in best]
-                    if len(found) > 8 * top:
-                        found.sort()
-                        del found[top + 1 :]
-            for found in out.values():
-                found.sort()
-                del found[top + 1 :]
-        flat = [(qid[k], c, -s) for k, found in out.items() for s, c in found]
-        return pa.table({"qid": pa.array([f[0] for f in flat], pa.int64()), "cid": pa.array([f[1] for f in flat], pa.int64()), "score": pa.array([f[2] for f in flat], pa.float64())})
+                least = np.partition(scores, e - s - keep, axis=1)[:, e - s - keep]
+                i, j = np.nonzero(scores >= least[:, None])  # ties at the end are all kept
+                found.append((some[i], cid[s + j], scores[i, j]))
+        who, what, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _lists(asking["qid"].to_numpy(), *_best(who, what, score, top + 1))
+
+    def merge(rows: pa.Table) -> pa.Table:
+        """The best of all cells for each query of a group; a vector may come from several trees."""
+        who = np.repeat(rows["qid"].to_numpy(), np.diff(rows["cids"].combine_chunks().offsets.to_numpy()))
+        what, score = (rows[c].combine_chunks().flatten().to_numpy() for c in ("cids", "scores"))
+        names, local = np.unique(who, return_inverse=True)
+        local, what, score = _best(local, what, score, top + 1)
+        return pa.table({"qid": names[local], "cid": what, "score": score})
 
     distinct = own.select("cid").distinct().join(index, "cid").select("cid", "v")
     blocks = max(1, -(-own.count() // QUERY_BLOCK))
@@ -237,9 +255,9 @@ def search(
         placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
     else:
         placed = placed.withColumn("block", F.lit(0).cast("long"))
-    ranked = placed.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(rank, "qid long, cid long, score double")
-    best = ranked.groupBy("qid", "cid").agg(F.max("score").alias("score"))
-    best = best.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("n") <= top + 1)
+    ranked = placed.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(rank, "qid long, cids array<long>, scores array<double>")
+    some = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-own.count() // QUERY_BLOCK) * 8))).alias("some")
+    best = ranked.withColumn("some", some).groupBy("some").applyInArrow(merge, "qid long, cid long, score double")
     best = best.join(index.select("cid", "ids"), "cid").select(F.col("qid").alias("own"), "cid", "score", "ids")
     near = own.withColumnRenamed("cid", "own").join(best, "own")
     mine = F.when(F.col("own") == F.col("cid"), F.array_position("ids", F.col("query_id"))).otherwise(F.lit(0))
