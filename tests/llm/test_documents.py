@@ -325,3 +325,25 @@ def test_language(spark, odd, odd_rows, none):
 def test_empty_and_odd(spark, none, odd, odd_rows, name):
     assert run(spark, name, none) == []
     assert Counter(r["doc_id"] for r in run(spark, name, odd)) == Counter(r[0] for r in odd_rows)
+
+
+def test_pipeline(spark, odd, odd_rows, none):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = corpus_pipeline.stage(step(spark, docs, odd), name)
+        if name != "tokens":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+        if name == "language":
+            assert all(any(map(str.isalpha, r["text"])) for r in docs.collect())
+        if name in ("secrets", "tokens"):
+            assert docs.count() == before
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    text = {r[0]: r[1] for r in odd_rows}
+    for r in docs.collect():
+        assert len(r["ids"]) == r["n_tokens"]
+        if r["doc_id"] is not None:
+            assert r["ids"] == lib.encode(text[r["doc_id"]], add_bos=True, add_eos=True)
+    assert corpus_pipeline.run(spark, none).count() == 0

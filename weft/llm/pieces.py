@@ -27,6 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONG = 400
 REMEMBERED = 600_000
@@ -243,7 +244,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     ``model`` is the path of the model file on every executor.
     """
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    schema = schema.add("ids", "array<int>") if ids else schema
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())) if ids else schema
 
     def groups(column: pa.Array) -> Iterator[list[str]]:
         group, size = [], 0
