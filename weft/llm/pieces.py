@@ -9,7 +9,7 @@ ranked anew; a word without a pair leaves. Merging one pair of a word at a time
 what makes the result equal to the library's, whose queue may prefer a pair that a
 merge has just made. Words of over LONG symbols would need as many rounds as symbols;
 they are cut where no piece spans two characters, and what is still long goes through
-a queue, in n log n steps. Encoded words are remembered up to a fixed number.
+a queue, in n log n steps. Encoded words are remembered in two generations of fixed size.
 
 Defined results: a null or empty text is the begin and end ids alone and decodes to
 nothing; every row gives one row; further columns are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG = 400
-REMEMBERED = 600_000
+REMEMBERED = 120_000  # words in each of two generations
 _SPACE = "▁"
 _NONE = np.int64(1) << 40
 _ROOM = 1 << 20  # symbols merged at a time
@@ -83,7 +83,9 @@ class PieceModel:
         inner = {c for t in text.values() if len(t) > 1 for c in t}
         lone = "\n" not in inner
         self.words = re.compile(" *[^ \n]+| +|\n" if lone else " *[^ ]+| +").findall
+        # Words met lately, and those of the generation before, which move up when they are met again.
         self.remembered: dict[str, tuple[bytes, int, bytes]] = {}
+        self.older: dict[str, tuple[bytes, int, bytes]] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (or none) and where its entry is."""
@@ -210,9 +212,11 @@ class PieceModel:
         """Ids as little-endian 32-bit integers with begin and end, their number, and the decoded bytes."""
         split = [self.words(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
         if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
-        new = list({w for words in split for w in words if w not in self.remembered})
-        self.learn(new)
+            self.older, self.remembered = self.remembered, {}
+        new = {w for words in split for w in words if w not in self.remembered}
+        known = new & self.older.keys()
+        self.remembered.update((w, self.older[w]) for w in known)
+        self.learn(list(new - known))
         begin, end = (np.array([k], "<u4").tobytes() for k in (self.bos, self.eos))
         for words in split:
             got = [self.remembered[w] for w in words]
@@ -235,7 +239,7 @@ def _models(path: str) -> PieceModel:
 
 
 _LOADED: dict[str, PieceModel] = {}
-_TOGETHER = 4 << 20  # characters of texts that are encoded at a time
+_TOGETHER = 1 << 20  # characters of texts that are encoded at a time
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
