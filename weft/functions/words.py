@@ -38,7 +38,7 @@ def code(path: Column) -> Column:
 def link_reasons(imports: Column, commits: Column, tests: Column, docs: Column, near: Column) -> Column:
     """Why two files are linked, in a fixed order; the directory only where nothing else says so.
 
-    ``imports`` and ``docs`` are arrays (of import texts, of kinds), ``commits`` a count, ``tests`` and ``near`` booleans; all may be null.
+    The wordings are fixed values. ``imports`` and ``docs`` are arrays (of import texts, of kinds), ``commits`` a count, ``tests`` and ``near`` booleans; all may be null.
     """
     said = F.concat(
         F.coalesce(imports, F.array().cast("array<string>")),

@@ -114,10 +114,13 @@ def time_quantiles(times: DataFrame, fractions: list[float]) -> DataFrame:
 
 def revision_at(chain: DataFrame, moments: DataFrame) -> DataFrame:
     """(moment, sha): the last entry of ``chain`` (seq, sha, ts) before the first one later than the moment, else the first entry."""
-    top = chain.withColumn("top", F.max("ts").over(W.orderBy("seq")))
-    hit = moments.join(top, F.col("top") <= F.col("moment")).groupBy("moment").agg(F.max_by("sha", "seq").alias("sha"))
+    # Running maxima never fall, so this is an as-of lookup: both in one order of time.
+    top = chain.select(F.max("ts").over(W.orderBy("seq")).alias("t"), "seq", F.struct("sha").alias("s"), F.lit(None).cast("bigint").alias("moment"))
+    asked = moments.select(F.col("moment").cast("bigint").alias("t"), F.lit((1 << 63) - 1).alias("seq"), F.lit(None).cast(top.schema["s"].dataType).alias("s"), F.col("moment").cast("bigint").alias("moment"))
+    last = F.last("s", ignorenulls=True).over(W.orderBy("t", "seq").rowsBetween(W.unboundedPreceding, 0))
+    hit = top.unionByName(asked).withColumn("last", last).where("moment is not null")
     first = chain.agg(F.min_by("sha", "seq").alias("first"))
-    return moments.join(hit, "moment", "left").join(F.broadcast(first), F.lit(True)).select("moment", F.coalesce("sha", "first").alias("sha"))
+    return hit.join(F.broadcast(first), F.lit(True)).select("moment", F.coalesce("last.sha", "first").alias("sha"))
 
 
 def bootstrap_interval(values: DataFrame, column: str, n: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:

@@ -39,5 +39,5 @@ def render(g: FileGraph, link: Callable[[str], str] = code) -> str:
     out += ["", "## Central files (most imported)", "", *_table(["File", "Importers", "Commits"], 2, [[link(r["id"]), r["importers"], r["changes"]] for r in central])]
     hidden = graph.hidden_dependencies(g).orderBy("rank").collect()
     rows = [[link(h["a"]), link(h["b"]), h["category"].replace("_", " "), h["commits"], f"{h['confidence']:.2f}", "none" if h["structural_distance"] is None else h["structural_distance"]] for h in hidden]
-    out += ["", "## Hidden dependencies", "", "Files that change together although no short import path connects them.", ""]
+    out += ["", "## Hidden dependencies", "", "Pairs that changed in the same commits and that no short chain of imports links.", ""]
     return "\n".join([*out, *_table(["File A", "File B", "Kind", "Commits", "Confidence", "Import hops"], 3, rows or [["—"] * 6])]) + "\n"

@@ -71,6 +71,7 @@ def settings(g: FileGraph) -> dict:
     """Colours of the first communities, and how the graph view is laid out."""
     known = [r[0] for r in g.communities.select("community").distinct().orderBy("community").limit(len(PALETTE)).collect()]
     groups = [{"query": f"tag:#weft/c{c:02d}", "color": {"a": 1, "rgb": int(PALETTE[c][1:], 16)}} for c in known if c < len(PALETTE)]
+    # Fixed values of the graph view.
     view = {"showTags": False, "showAttachments": False, "hideUnresolved": True, "showOrphans": True, "showArrow": False}
     return {"colorGroups": groups} | view | {"nodeSizeMultiplier": 1.1, "lineSizeMultiplier": 0.6, "centerStrength": 0.45, "repelStrength": 12, "linkStrength": 1, "linkDistance": 180}
 
