@@ -260,6 +260,19 @@ def test_weight_tuning(spark, ring):
     assert len(results) == 4 and max(v for _, v in results) == dict((tuple(w.items()), v) for w, v in results)[tuple(best.items())]
 
 
+def test_methods_on_sets(spark, tx, ring):
+    edges, nodes = ring
+    q = table(spark, [(0, "b"), (0, "d")], "qid int, seed string")
+    truth = table(spark, [(0, "a")], "qid int, node string")
+    ids = evaluate.tie_breaks(table(spark, [(x,) for x in "abcde"], "id string"))
+    by = lambda scores: evaluate.evaluate_scores(scores, q, truth, ids, unique=False).first()
+    assert by(evaluate.rule_scores(tx, q))["recall_5"] == 1.0 and by(evaluate.rule_scores(tx, q))["mrr"] >= 0.5
+    assert 0 < by(evaluate.rule_scores(tx, q, "rose"))["mrr"] == by(None)["mrr"]  # no rule: only ties decide
+    two = table(spark, [(0, "n00"), (0, "n05")], "qid int, seed string")
+    scores = evaluate.walk_scores(edges, nodes, two, {"evolution": 1.0})
+    assert abs(scores.agg(F.sum("score")).first()[0] - 1) < 1e-6
+
+
 def test_set_queries_and_interval(spark):
     rows = [("ab" * 20, 0, f) for f in "abc"] + [("cd" * 20, 0, f) for f in "xy"]
     ch = table(spark, rows, "sha string, ts bigint, file string")

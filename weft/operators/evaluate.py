@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.model import LAYERS, both_ways
-from weft.operators import walk
+from weft.operators import rules, walk
 from weft.operators.cochange import MOST_FILES, transactions
 
 CUTS = (1, 5, 10)
@@ -75,6 +75,25 @@ def cochange_scores(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(e, queries["seed"] == e["src"]).groupBy("qid", F.col("dst").alias("node")).agg(F.sum("count").cast("double").alias("score"))
 
 
+def walk_scores(edges: DataFrame, nodes: DataFrame, queries: DataFrame, weights: dict[str, float], damping: float = walk.DAMPING) -> DataFrame:
+    """(qid, node, score) of the walk with an even restart over each query's seeds."""
+    return walk.pagerank(walk.transition(edges, weights), walk.seed_shares(queries, nodes), nodes, damping)
+
+
+def rule_scores(sets: DataFrame, queries: DataFrame, method: str = "tarmaq") -> DataFrame:
+    """(qid, node, score) of association rules, support before confidence; ``method`` is rose or tarmaq."""
+    mine = {"rose": rules.whole_query_rules, "tarmaq": rules.largest_overlap_rules}[method]
+    found = mine(sets, queries.select("qid", F.col("seed").alias("file")))
+    return found.select("qid", F.col("file").alias("node"), rules.rule_value(F.col("support"), F.col("confidence")).alias("score"))
+
+
+def evaluate_scores(scores: DataFrame | None, queries: DataFrame, truth: DataFrame, candidates: DataFrame, unique: bool = True) -> DataFrame:
+    """Mean metrics of a method; no scores at all is the random baseline, where only ties decide."""
+    if scores is None:
+        scores = queries.select("qid", F.col("seed").alias("node"), F.lit(0.0).alias("score"))
+    return summary(metrics(positions(scores, queries, candidates, unique), truth))
+
+
 def simplex_grid(spark, steps: int = 10, layers: tuple[str, ...] = LAYERS) -> DataFrame:
     """(n, a column for each layer): all weights in steps of 1 / ``steps`` that add up to one, in order."""
     out = spark.range(1).select()
@@ -98,7 +117,7 @@ def tune_weights(edges: DataFrame, nodes: DataFrame, queries: DataFrame, truth:
         if not any(v > 0 for v in w.values()):
             continue
         scores = walk.pagerank(walk.transition(edges, w), shares, nodes)
-        results.append((w, summary(metrics(positions(scores, queries, candidates), truth)).first()[metric]))
+        results.append((w, evaluate_scores(scores, queries, truth, candidates).first()[metric]))
     return max(results, key=lambda r: r[1])[0], results
 
 
