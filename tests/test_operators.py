@@ -202,6 +202,25 @@ def test_walk(spark, ring):
         assert abs(k.get((2, name), 0) - (k.get((0, name), 0) + k.get((1, name), 0)) / 2) < 1e-6
 
 
+def test_distances(spark, ring):
+    from weft.operators import graph
+
+    edges, nodes = ring
+    e = edges.where("layer = 'structure' or weight < 0.4")
+    sources = nodes.select(F.col("id").alias("node")).where("id in ('n00', 'n07', 'n20')")
+    for hops in (0, 1, 2, 30):
+        got = {m: sorted(map(tuple, graph.within(e, sources, hops, m).collect())) for m in ("kernel", "loop")}
+        assert got["kernel"] == got["loop"] and ("n20", "n20", 0) in got["kernel"]
+    near = {}
+    for r in e.collect():
+        near.setdefault(r["a"], set()).add(r["b"])
+        near.setdefault(r["b"], set()).add(r["a"])
+    depth, front = {"n00": 0}, ["n00"]
+    while front:
+        front = [y for x in front for y in sorted(near.get(x, ())) if y not in depth and not depth.update({y: depth[x] + 1})]
+    assert {(n, d) for s, n, d in got["loop"] if s == "n00"} == set(depth.items())
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(50)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,17 +25,58 @@ def hub_files(nodes: DataFrame, commits: int, share: float = HUB_SHARE) -> DataF
     return nodes.where(enough & (F.col("kind") == "file") & (F.col("changes") > share * commits)).select("id")
 
 
-def within(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
-    """(src, node, d): nodes at most ``hops`` undirected steps from each source (node), the source itself at 0."""
-    step = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct()
-    seen = sources.select(F.col("node").alias("src"), "node").distinct().withColumn("d", F.lit(0))
-    front = seen
+def _reach(start: np.ndarray, to: np.ndarray, source: int, hops: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes at most ``hops`` steps from a source, and their steps; ``to[start[x]:start[x + 1]]`` are x's neighbours."""
+    depth = np.full(len(start) - 1, -1, np.int64)
+    depth[source], front = 0, np.array([source])
+    for k in range(1, hops + 1):
+        many = start[front + 1] - start[front]
+        near = to[np.repeat(start[front] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        front = np.unique(near[depth[near] < 0])
+        if not len(front):
+            break
+        depth[front] = k
+    found = np.nonzero(depth >= 0)[0]
+    return found, depth[found]
+
+
+def within(edges: DataFrame, sources: DataFrame, hops: int, method: str = "auto") -> DataFrame:
+    """(src, node, d): nodes at most ``hops`` undirected steps from each source (node), the source itself at 0.
+
+    Up to SMALL_EDGES edges, which are counted first, tasks walk from their sources over a broadcast copy (``kernel``);
+    beyond, each round joins the newest nodes with the edges and leaves out those that were seen (``loop``).
+    """
+    step = stage(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "steps")
+    sources = sources.select("node").distinct()
+    if method == "kernel" or method == "auto" and step.count() <= walk.SMALL_EDGES:
+        e = step.toPandas()
+        ids, x = np.unique(e["x"].to_numpy(), return_inverse=True)
+        y = np.searchsorted(ids, e["y"].to_numpy())
+        order = np.argsort(x, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(ids)))]).astype(np.int64)
+        sent = edges.sparkSession.sparkContext.broadcast((ids, start, y[order]))
+        kind = step.schema["x"].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, first, to = sent.value
+            place = {n: k for k, n in enumerate(names.tolist())}
+            for batch in batches:
+                for source in batch["node"].tolist():
+                    if source in place:
+                        found, d = _reach(first, to, place[source], hops)
+                        yield pd.DataFrame({"src": source, "node": names[found], "d": d.astype(np.int32)})
+                    else:
+                        yield pd.DataFrame({"src": [source], "node": [source], "d": np.array([0], np.int32)})
+
+        return sources.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"src {kind}, node {kind}, d int")
+    seen = front = stage(sources.select(F.col("node").alias("src"), "node").withColumn("d", F.lit(0)), "seen")
     for k in range(1, hops + 1):
         new = front.join(step, front["node"] == step["x"]).select("src", F.col("y").alias("node")).distinct().join(seen.select("src", "node"), ["src", "node"], "left_anti")
         front = stage(new.withColumn("d", F.lit(k)), "front")
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
+        seen = stage(seen, "seen") if k % 8 == 0 else seen
     return seen
 
 

@@ -8,6 +8,7 @@ Losing an executor loses nothing: the files are not on executors' own disks.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,8 +41,13 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return out
 
 
-def discard(staged: DataFrame) -> None:
-    """Delete a staged table that nothing will read again."""
+def discard(staged: DataFrame, part: str = "") -> None:
+    """Delete a staged table, or one of its partitions (``column=value``), that nothing will read again.
+
+    The shuffle files behind it go too: Spark drops them once nothing in the driver refers to them, which a collection settles.
+    """
     spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged._weft_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{staged._weft_path}/{part}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
