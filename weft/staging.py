@@ -8,7 +8,9 @@ Losing an executor loses nothing: the files are not on executors' own disks.
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="weft-")
+        folder = tempfile.mkdtemp(prefix="weft-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = f"file://{folder}"
     return _LOCAL[app]
 
 
