@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import language, mixing, pieces, secrets, simhash
-from weft.staging import stage
+from weft.staging import discard, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
+        if kept is not None:
+            discard(kept)
+        kept = docs
     return docs

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.linear import fit_svm
+from weft.llm.texts import map_batches
 
 TRAIN_ROWS = 1600
 DIMENSIONS = 4096
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang",
             x = [scaled(counts(t or "")).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["label", "lot", "x"])
 
-    got = drawn.select("_label", "_text", "_lot").mapInArrow(features, "label string, lot long, x binary").collect()
+    got = map_batches(drawn.select("_label", "_text", "_lot"), features, "label string, lot long, x binary").collect()
     got.sort(key=lambda r: (r["label"], r["lot"], bytes(r["x"])))
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in got]).astype(np.float32)
     return LanguageModel.fit(x, [r["label"] for r in got])
@@ -158,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
                 names=schema.names,
             )
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text).alias("_text"), *keep), run, schema)
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.texts import map_batches
+
 LONG = 400
 REMEMBERED = 120_000  # words in each of two generations
 _SPACE = "▁"
@@ -279,4 +281,4 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 at += len(rows)
                 yield pa.RecordBatch.from_arrays([*kept, *cols], names=schema.names)
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text).alias("_text"), *keep), run, schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.texts import map_batches
+
 #: The kinds in the order in which spans of equal start are listed.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "der", "openssh", "pem", "token")
@@ -200,7 +202,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text).alias("_text"), *keep), run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
@@ -226,4 +228,4 @@ def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
                 cols[count] = pa.array(sizes, batch.column(count).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
