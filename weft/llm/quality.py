@@ -16,6 +16,7 @@ quality holds; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.texts import map_batches
+
 TRAIN_DOCS = 600
 TRAIN_LINES = 120
 CONTENT_SHARE = 0.3
@@ -93,7 +96,7 @@ def line_features(line: str, before: set[str]) -> int:
     bits = [
         True, n <= 2, 2 < n <= 5, 5 < n <= 12, 12 < n <= 40, n > 40, symbols > 0.5, 0.1 < symbols <= 0.5, 0 < symbols <= 0.1, letters < 0.5,
         0.5 <= letters < 0.8, mean < 3, mean > 8.5, mean > 14, most > 0.3 * n, most > 0.7 * n, tail in tuple(".!?"), tail in tuple("|>:;,"), stops == 0,
-        stops > 0.3, any(w in low for w in BOILERPLATE_WORDS), "|" in line, any(map(str.isdigit, line)), line in before, line[:1].isupper(), "://" in line or "www." in low,
+        stops > 0.3, any(w in low for w in BOILERPLATE_WORDS), "|" in line, sum(map(str.isdigit, line)) > 0.5 * chars, line in before, line[:1].isupper(), "://" in line or "www." in low,
     ]
     return sum(1 << k for k, b in enumerate(bits) if b)
 
@@ -215,9 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: int
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["f", "y", "lot"])
 
     some = docs.select(F.col(text).alias("_text"), "doc_id").join(F.broadcast(drawn), "doc_id").select("_text", "y", lot.alias("lot"))
-    rows = some.mapInArrow(features, "f array<long>, y int, lot long").collect()
+    rows = map_batches(some, features, "f array<long>, y int, lot long").collect()
     sequences = [(r["f"], r["y"]) for r in sorted(rows, key=lambda r: (r["lot"], r["y"], r["f"]))]
-    return LineField.fit(sequences) if len({y for f, y in sequences if f}) == 2 else LineField.none()
+    if len({y for f, y in sequences if f}) < 2:
+        return LineField.none()
+    out = LineField.fit(sequences)
+    out.weight[0] += math.log(max(1.0, sizes[1] / sizes[0]))  # the sample has as many good as bad, the labels have not
+    return out
 
 
 def judge(docs: DataFrame, field: LineField, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = CONTENT_SHARE) -> DataFrame:
@@ -240,4 +247,4 @@ def judge(docs: DataFrame, field: LineField, text: str = "text", keep: tuple[str
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text).alias("_text"), *keep), run, schema)
