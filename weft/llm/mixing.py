@@ -200,7 +200,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     )
     drawn = mix.times(named).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
     drawn = drawn.withColumn("_shard", mix.shard(F.col("_turn"))).withColumn("_lot", F.xxhash64("_key", "_turn", "_shard"))
-    parts = max(1, rows.count() // (100_000 * shards))
+    parts = max(1, rows.count() // (20_000 * shards))
     return (
         drawn.select(*(f"c{k}" for k in range(len(cols))), "_shard", "_lot")
         .repartition("_shard", F.pmod("_lot", F.lit(max(4, parts))))
