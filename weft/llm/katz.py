@@ -44,13 +44,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import LOWER, utf8
-from weft.staging import stage
+from weft.llm.texts import LOWER, map_batches, utf8
+from weft.staging import discard, stage
 
 FIRST = 5  # counts that are discounted
-BLOCK_TOKENS = 3_000_000
-WORD_PART, PAIR_PART = 32 << 20, 24 << 20  # bytes of text for each partition of the tables
-MOST_PARTS = 8192
+BLOCK_TOKENS = 2_200_000
+WORD_PART, PAIR_PART = 16 << 20, 10 << 20  # bytes of text for each partition of the tables
+MOST_PARTS = 1 << 20
 HOT = 4  # a history with over 1 / (HOT * partitions) of all tokens is dealt over all partitions
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,7 +171,7 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
             yield from flush(block, *state)
 
     rows = docs.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id"), held.alias("_held"))
-    return rows.mapInArrow(run, "kind int, part long, block long, data binary")
+    return map_batches(rows, run, _SQL_ROWS)
 
 
 def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -221,27 +221,30 @@ def _pairs(one: Unigrams, parts: int):
         place = np.empty(len(number), np.int64)
         place[rank] = np.arange(1, len(number) + 1)
         name = np.concatenate([[0], number[rank] + 1])
-        length, token = length.astype(np.int64), token.astype(np.int64)
-        doc = np.repeat(np.arange(len(length)), length)
+        length = length.astype(np.int64)
+        docs = len(length)
+        doc = np.repeat(np.arange(docs, dtype=np.int32), length)
         last = np.cumsum(length) - 1
-        count = np.concatenate([[count[token[last[0]]]], count[rank]])
-        w = place[token]
+        w = place.astype(np.int32)[token]
         h = np.roll(w, 1)
         h[last - length + 1] = 0
-        docs = len(length)
-        known = np.bincount(doc, count[w] > 0, docs)
-        base = np.bincount(doc, one.base(count[w]), docs)
-        lost = count[h] == 0  # nothing is known of the history
-        score = np.bincount(doc[lost], one.log10(count[w[lost]]), docs)
+        # The start is followed as often as an end is met in training.
+        count = np.concatenate([[count[int(token[last[0]])]], count[rank]])
+        del token
+        known = np.bincount(doc, (count > 0)[w], docs)
+        base = np.bincount(doc, one.base(count)[w], docs)
+        lost = (count == 0)[h]  # nothing is known of the history
+        score = np.bincount(doc[lost], one.log10(count)[w[lost]], docs)
         rows = [(4, -1 - block, block, pack(own, null, held, length, known.astype(np.int64), _floats(base), _floats(score)))]
         hot = count > one.tokens / (HOT * parts)
-        mixed = ((name.astype(np.uint64) * _MIX) >> np.uint64(32)).astype(np.int64)
+        mixed = ((name.astype(np.uint64) * _MIX) >> np.uint64(32)).astype(np.int64) % parts
         h, w, doc = h[~lost], w[~lost], doc[~lost]
-        part = (mixed[h] + np.where(hot[h], mixed[w], 0)) % parts
         n = len(name)
-        key = (part * n + h) * n + w
+        key = ((mixed[h] + np.where(hot[h], mixed[w], 0)) % parts * n + h) * n + w
+        del h, w
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order] * 2 + held[doc[order]].astype(np.int64)
+        key, doc = key[order], (doc * 2 + held.astype(np.int32)[doc])[order]
+        del order
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
         many = np.diff(np.append(first, len(key)))
         key = key[first]
@@ -383,8 +386,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     word_parts, pair_parts = (min(MOST_PARTS, max(12, size // b)) for b in (WORD_PART, PAIR_PART))
-    blocks = stage(_blocks(docs, text, doc_id, held_out, word_parts), "blocks")
+    blocks = stage(_blocks(docs, text, doc_id, held_out, word_parts), "blocks", ["kind"])
     words = stage(blocks.where("kind = 1").groupBy("part").applyInArrow(_words(word_parts), _SQL_ROWS), "words")
+    discard(blocks, "kind=1")
     # At most sqrt(2 N) different counts, by partition.
     one = Unigrams.of(_added(words.where("kind = 3").select("data").collect()))
     pairs = (
@@ -393,6 +397,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         .applyInArrow(_pairs(one, pair_parts), _SQL_ROWS)
     )
     answers = stage(pairs.groupBy("part").applyInArrow(_answers(one), _SQL_ROWS), "answers")
+    del pairs
+    discard(blocks)
+    discard(words)
     d = discounts(_added(answers.where("kind = 7").select("data").collect()))
     dealt: dict[int, tuple] = {}
     for r in answers.where("kind = 8").select("data").collect():  # HOT * pair_parts histories at most
