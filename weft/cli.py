@@ -30,7 +30,8 @@ def _root(a: argparse.Namespace) -> Path:
 
 def _name(root: Path, path: str) -> str:
     p = Path(path)
-    return (p.resolve().relative_to(root) if p.is_absolute() or p.exists() else p).as_posix()
+    inside = (p.is_absolute() or p.exists()) and p.resolve().is_relative_to(root)
+    return (p.resolve().relative_to(root) if inside else p).as_posix()
 
 
 def _graph(a: argparse.Namespace, rebuild: bool = False):
