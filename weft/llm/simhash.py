@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import LOWER, utf8
+from weft.llm.texts import LOWER, map_batches, utf8
 from weft.operators.components import connected_components
 from weft.staging import stage
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             values = pa.array([fingerprint(t) for t in utf8(batch.column(0))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], names=[*keep, out])
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text).alias("_text"), *keep), run, schema)
 
 
 def _cells(fps: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,25 +185,18 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cell = np.searchsorted(start, fp.view(np.uint64), "right") - 1
-            order = np.argsort(cell, kind="stable")
-            own, first = np.unique(cell[order], return_index=True)
-            for c, rows in zip(own.tolist(), np.split(order, first[1:]), strict=True):
-                if c not in near:
-                    near[c] = _partners(c, start, depth, budget)
-                to = near[c]
-                pair = np.minimum(to, c) * cells + np.maximum(to, c)
-                for k in range(0, len(rows), 4096):
-                    part = rows[k : k + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(pair, len(part))),
-                            pa.array(np.repeat(to < c, len(part))),
-                            pa.array(np.tile(fp[part], len(to))),
-                        ],
-                        names=["pair", "second", "fp"],
-                    )
+            fps_here = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for k in range(0, len(fps_here), 4096):
+                fp = fps_here[k : k + 4096]
+                cell = np.searchsorted(start, fp.view(np.uint64), "right") - 1
+                for c in np.unique(cell).tolist():
+                    if c not in near:
+                        near[c] = _partners(c, start, depth, budget)
+                to = [near[c] for c in cell.tolist()]
+                many = np.fromiter(map(len, to), np.int64, len(to))
+                to, cell = np.concatenate(to), np.repeat(cell, many)
+                pair = np.minimum(to, cell) * cells + np.maximum(to, cell)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(to < cell), pa.array(np.repeat(fp, many))], names=["pair", "second", "fp"])
 
     def meet(table: pa.Table) -> pa.Table:
         pair, second = table["pair"][0].as_py(), table["second"].to_numpy()
