@@ -31,6 +31,7 @@ from weft.llm.texts import map_batches
 TRAIN_DOCS = 600
 TRAIN_LINES = 120
 CONTENT_SHARE = 0.3
+LEANING = 0.5  # towards content, of the log of good documents for each bad one
 _SYMBOLS = re.compile("[#*$%&|<>]")
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 WINDOW = 5
@@ -129,7 +130,7 @@ class LineField:
         return cls(np.eye(1, N_FEATURES)[0] * 9.0, np.zeros((2, 2)))
 
     @classmethod
-    def fit(cls, sequences: list[tuple[list[int], int]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> LineField:
+    def fit(cls, sequences: list[tuple[list[int], int]], rounds: int = 120, rate: float = 0.3, ridge: float = 1e-5) -> LineField:
         """Adagrad ascent on the log-likelihood; sequences of equal length go through forward-backward together."""
         by_length: dict[int, list[tuple[list[int], int]]] = {}
         for s in sequences:
@@ -223,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: int
     if len({y for f, y in sequences if f}) < 2:
         return LineField.none()
     out = LineField.fit(sequences)
-    out.weight[0] += math.log(max(1.0, sizes[1] / sizes[0]))  # the sample has as many good as bad, the labels have not
+    # The sample has as many good as bad, the labels have not.
+    out.weight[0] += LEANING * math.log(max(1.0, sizes[1] / sizes[0]))
     return out
 
 
