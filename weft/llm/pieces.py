@@ -280,5 +280,6 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 kept = [c.slice(at, len(rows)) for c in batch.columns[1:]]
                 at += len(rows)
                 yield pa.RecordBatch.from_arrays([*kept, *cols], names=schema.names)
+        m.older = {}
 
     return map_batches(docs.select(F.col(text).alias("_text"), *keep), run, schema)

@@ -36,4 +36,9 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     now = conf.get(name).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers live on, and what they keep adds up over stages
+
+    return df.mapInArrow(released, schema)
