@@ -240,8 +240,14 @@ def _pairs(one: Unigrams, parts: int):
         mixed = ((name.astype(np.uint64) * _MIX) >> np.uint64(32)).astype(np.int64) % parts
         h, w, doc = h[~lost], w[~lost], doc[~lost]
         n = len(name)
-        key = ((mixed[h] + np.where(hot[h], mixed[w], 0)) % parts * n + h) * n + w
-        del h, w
+        key = mixed[h]  # (partition, history, word) as one number, made in place
+        key += np.where(hot[h], mixed[w], 0)
+        key %= parts
+        key *= n
+        key += h
+        key *= n
+        key += w
+        del h, w, lost
         order = np.argsort(key, kind="stable")
         key, doc = key[order], (doc * 2 + held.astype(np.int32)[doc])[order]
         del order
