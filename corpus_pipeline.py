@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import language, mixing, pieces, secrets, simhash
+from weft.llm import language, mixing, nearcopies, pieces, secrets
 from weft.staging import discard, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One row of each group whose 5-word shingles are similar by 0.8 or more: the one with the smallest doc_id."""
+    return nearcopies.keep_one(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

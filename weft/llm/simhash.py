@@ -36,22 +36,28 @@ _CHUNK = 1 << 16
 _FRONTIER = 1 << 18
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """The signed 64-bit SimHash of a UTF-8 text over its word shingles, repeats included."""
+def shingles(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of a UTF-8 text's word shingles in order, repeats included, in arrays of bounded length; a shorter text is one shingle."""
     words = text.translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = (end - size)[:n]
     end = end[min(width, len(words)) - 1 :]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, _CHUNK):
         spans = zip(start[k : k + _CHUNK].tolist(), end[k : k + _CHUNK].tolist(), strict=True)
-        h = np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
+        yield np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """The signed 64-bit SimHash of a UTF-8 text over its word shingles, repeats included."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingles(text, width):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(ones * 2 > n, bitorder="little")
     return int(bits.view(np.int64)[0])
