@@ -120,6 +120,30 @@ def test_trie_in_many_cells(spark, monkeypatch):
     assert got == {(int(v), reach(int(v))) for v in values}
 
 
+def test_cells_collect_in_proportion_to_cells(spark, monkeypatch):
+    """The driver gets a few counts for each wide prefix, not one for nearly each fingerprint."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(simhash, "MIN_CELL", 8)
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([rng.integers(-(1 << 63), 1 << 63, 40_000), rng.integers(0, 1 << 20, 40)]))
+    fps = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    collected, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    start, depth = simhash._cells(fps, len(values))
+    own = np.sort(values.view(np.uint64))
+    cell = np.searchsorted(start, own, "right") - 1
+    assert (cell >= 0).all() and ((own ^ start[cell]) >> (64 - np.maximum(depth[cell], 1)).astype(np.uint64) == 0).all()
+    assert np.bincount(cell, minlength=len(start)).max() <= 8
+    assert sum(collected) <= 3 * len(start) and max(collected) < len(values) / 2
+
+
 def test_keep_one(spark, odd, odd_rows):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = simhash.keep_one(docs)

@@ -30,8 +30,10 @@ from weft.staging import stage
 
 SHINGLE = 3
 BUDGET = 2
-#: Fingerprints in a cell: at least this many, and never more than MAX_CELLS cells in all.
+#: Fingerprints that a cell may hold: MIN_CELL, or more where cells of that size would be more than MAX_CELLS.
 MIN_CELL, MAX_CELLS = 1024, 65_536
+#: Bits by which prefixes that hold more grow in a round: each then gives at most 2^STEP counts.
+STEP = 3
 _CHUNK = 1 << 16
 _FRONTIER = 1 << 18
 
@@ -76,18 +78,20 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
 
 def _cells(fps: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (unsigned, ascending) and depths of the cells: bounded by MAX_CELLS, from counts by prefix."""
+    """Starts (unsigned, ascending) and depths of the cells, from counts by prefix.
+
+    A round collects at most 2^STEP counts for each prefix that still holds too many, of which there are fewer
+    than n / most <= MAX_CELLS at any depth. What a round reads is told by a search among those prefixes.
+    """
     most = max(MIN_CELL, -(-n // MAX_CELLS))
     done: list[tuple[int, int]] = []
-    wide = [(0, 0)]  # prefixes, with their depth, that hold too many
+    wide = [(0, 0)] if n > most else []  # prefixes, with their depth, that hold too many
+    if not wide and n:
+        done.append((0, 0))
     while wide:
-        deep = min(64, wide[0][1] + 12)
-        prefix = F.shiftrightunsigned("fp", 64 - deep)
-        rows = fps
-        if wide[0][1]:
-            known = [p - (1 << 64) if p >> 63 else p for p, _ in wide]
-            rows = fps.where(F.shiftrightunsigned("fp", 64 - wide[0][1]).isin(known))
-        counts = {r[0] % (1 << 64): r[1] for r in rows.groupBy(prefix.alias("p")).count().collect()}
+        depth = wide[0][1]
+        deep = min(64, depth + STEP)
+        counts = _counts(fps, [p for p, _ in wide], depth, deep)
         keys = np.array(sorted(counts), np.uint64)
         total = np.concatenate([[0], np.cumsum([counts[int(k)] for k in keys])])
         walk, wide = wide, []
@@ -106,6 +110,23 @@ def _cells(fps: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in done], np.uint64), np.array([d for _, d in done], np.int64)
 
 
+def _counts(fps: DataFrame, known: list[int], depth: int, deep: int) -> dict[int, int]:
+    """Fingerprints by prefix of ``deep`` bits, under the ``known`` prefixes of ``depth`` bits only."""
+    among = np.array(sorted(known), np.uint64)
+
+    def under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if depth:
+                top = fp >> np.uint64(64 - depth)
+                fp = fp[among[np.minimum(np.searchsorted(among, top), len(among) - 1)] == top]
+            p, count = np.unique(fp >> np.uint64(64 - deep), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(count.astype(np.int64))], names=["p", "n"])
+
+    rows = fps.select("fp").mapInArrow(under, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    return {r[0] % (1 << 64): r[1] for r in rows}
+
+
 def _partners(c: int, start: np.ndarray, depth: np.ndarray, budget: int) -> np.ndarray:
     """Cells whose prefix differs from cell ``c`` in ``budget`` bits at most, as far as both go."""
     common = np.minimum(depth, depth[c])
