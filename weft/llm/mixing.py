@@ -14,8 +14,9 @@ Only tables of one row for each source come to the driver. They are broadcast up
 BROADCAST_ROWS rows and joined by exchange beyond.
 
 Defined results: a null text has size 0; a null source is a source, listed last; rows
-that are equal in id, text and source are taken together or not at all; sources without
-words have target 0; an empty table gives an empty result.
+that are equal in id, text and source are told apart by numbers, so each may be taken
+or left by itself; sources without words have target 0; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weft.llm.copies import ROW, numbered
 from weft.llm.texts import WORD
-from weft.staging import stage
+from weft.staging import discard, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -111,8 +113,8 @@ class Mix:
         return F.size(F.filter("bounds", lambda b: b <= draw))
 
 
-def key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id, text)
+def key(source: Column, doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(source, doc_id, text)
 
 
 def plan(sized: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES, rows_each: int = ROWS_EACH) -> Mix:
@@ -128,7 +130,7 @@ def plan(sized: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WE
         .withColumn("shift", F.pmod(F.xxhash64("source", F.lit(5)), "blocks"))
         .drop("rows")
     )
-    goal = stage(goal.coalesce(1), "sources")
+    goal = stage(goal, "sources")
     n = goal.count()
     few = n <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda d: d)
@@ -171,39 +173,52 @@ def plan(sized: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WE
     split = split_quotas(np.array([r["draws"] for r in quotas], np.int64), shards)
     ends = np.cumsum(split, axis=0)[:-1].T.tolist()
     bounds = spark.createDataFrame([(r["source_id"], e) for r, e in zip(quotas, ends, strict=True)], "source_id int, bounds array<bigint>")
-    sources = stage(drawn.join(small(bounds), "source_id").coalesce(1 + n // BROADCAST_ROWS), "mix")
+    sources = stage(drawn.join(small(bounds), "source_id"), "mix")
+    for t in (goal, wide_cut, fine_cut, drawn):
+        discard(t)
     return Mix(sources, picks, few, few_picks, shards)
 
 
-def sized_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, _source, _key and size of each row, staged."""
-    return stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_source"), key(F.col(doc_id), F.col(text)).alias("_key"), words(F.col(text)).alias("size")), "sizes")
+def sized_rows(docs: DataFrame, keep: tuple[str, ...], text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """``keep`` columns, _source, _key and size of each row, and its place, staged. Equal rows have equal keys still."""
+    own = key(F.col(source), F.col(doc_id), F.col(text))
+    rows = docs.select(*keep, F.col(source).alias("_source"), own.alias("_key"), words(F.col(text)).alias("size"), F.monotonically_increasing_id().alias(ROW))
+    return stage(rows, "sizes")
 
 
 def mix_counts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target, taken and the shards that draw the row, for every row."""
-    rows = sized_rows(docs)
+    rows = sized_rows(docs, ("doc_id",))
+    apart = numbered(rows, "_key")
+    if apart is not rows:
+        rows = stage(apart, "sizes")
     mix = plan(rows, shards)
-    drawn = F.when(F.col("_times") > 0, F.transform(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int")), lambda k: mix.shard(k)))
-    return mix.times(rows).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"), F.array_join(drawn, ",").alias("shards")
-    )
+    turns = F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))
+    drawn = mix.times(rows).withColumn("drawn", F.when(F.col("_times") > 0, F.transform(turns, mix.shard)).otherwise(F.array().cast("array<int>")))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("drawn")).alias("taken"), F.array_join("drawn", ",").alias("shards"))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """The mix itself: each row as often as it is drawn, in its shard's partition and shuffled there."""
-    rows = sized_rows(docs, text, source, doc_id)
-    mix = plan(rows, shards)
+    """The mix itself: each row as often as it is drawn, in its shard's partition and shuffled there.
+
+    Whole rows are written once more only if some are equal, as a number must then tell them apart.
+    """
     cols = docs.columns
-    named = docs.select(
-        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(cols)), F.col(source).alias("_source"), key(F.col(doc_id), F.col(text)).alias("_key")
-    )
+    names = tuple(f"c{k}" for k in range(len(cols)))
+    at = {c: names[cols.index(c)] for c in (text, source, doc_id)}
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)))
+    rows = sized_rows(named, (), at[text], at[source], at[doc_id])
+    named = named.withColumn("_source", F.col(at[source])).withColumn("_key", key(*(F.col(at[c]) for c in (source, doc_id, text))))
+    if numbered(rows, "_key") is not rows:
+        named = numbered(stage(named.withColumn(ROW, F.monotonically_increasing_id()), "named"), "_key")
+        rows = stage(named.select("_source", "_key", words(F.col(at[text])).alias("size")), "sizes")
+    mix = plan(rows, shards)
     drawn = mix.times(named).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
     drawn = drawn.withColumn("_shard", mix.shard(F.col("_turn"))).withColumn("_lot", F.xxhash64("_key", "_turn", "_shard"))
     parts = max(1, rows.count() // (20_000 * shards))
     return (
-        drawn.select(*(f"c{k}" for k in range(len(cols))), "_shard", "_lot")
+        drawn.select(*names, "_shard", "_lot")
         .repartition("_shard", F.pmod("_lot", F.lit(max(4, parts))))
         .sortWithinPartitions("_shard", "_lot")
-        .select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(cols)))
+        .select(*(F.col(n).alias(c) for n, c in zip(names, cols, strict=True)))
     )
