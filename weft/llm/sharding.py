@@ -7,14 +7,15 @@ key, only within the ranges that still hold an open splitter, and keeps the narr
 range; a splitter closes at a text boundary where one is near enough, and goes on into
 the second hash only where one text is larger than the tolerance. Then rows are
 exchanged once, by splitter. Counts come to the driver as at most 256 rows for each
-open splitter and round; rows never do.
+open splitter and round; rows never do. Splitters are as many as shards, less one.
 
-Shards are many partitions of one order: with N shards and m partitions in each, all
-N*m - 1 boundaries are found alike, and a row's slot is its place in its partition
-plus the rows of the partitions before, so that no task holds more than its part.
+Slots need no order between shards' parts: a shard is dealt by a hash into parts of
+about ROWS_EACH rows, and a row's slot is its place in its part plus the rows of the
+parts before, so that no task holds more than its part however many rows there are.
 
-Defined results: null text counts as size 1; equal rows share a key and stay together;
-null ids are a value like any other; an empty table gives an empty result.
+Defined results: null text counts as size 1; rows that are equal in text and id are
+told apart by numbers, so a boundary may fall between them; null ids are a value like
+any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weft.llm.copies import ROW, numbered
 from weft.staging import stage
 
 TOLERANCE = 0.002  # of a shard's bytes
-ROWS_EACH = 1_000_000  # rows in a partition, about
-MOST_PARTS = 1024
+ROWS_EACH = 1_000_000  # rows in a part of a shard, about
+BROADCAST_PARTS = 100_000
 _BITS = 8
 _TOP = 1 << 63
 
@@ -112,15 +114,15 @@ def shard(docs: DataFrame, shards: int, size: Column, high: Column, low: Column,
     Column names are kept apart, so ``docs`` may have columns named shard or slot only if they are to be replaced.
     """
     cols = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = stage(
-        docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(cols)), size.cast("long").alias("size"), high.alias("high"), low.alias("low")),
-        "keys",
-    )
+    named = (F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(cols))
+    rows = docs.select(*named, size.cast("long").alias("size"), high.alias("high"), low.alias("low"), F.xxhash64(high, low).alias("both"))
+    rows = stage(rows.withColumn(ROW, F.monotonically_increasing_id()), "keys")
+    apart = numbered(rows, "both")
+    if apart is not rows:
+        rows = stage(apart.withColumn("low", F.when(F.col("both") == F.xxhash64("high", "low"), F.col("low")).otherwise(F.col("both"))), "keys")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = shards * max(1, min(MOST_PARTS // shards, -(-n // (rows_each * shards))))
-    targets = [total * (k + 1) // parts for k in range(parts - 1)]
-    cuts = splitters(rows, targets, int(tolerance * total / parts)) if n else []
-    # A boundary at or before the row's key puts the row one part further.
+    cuts = splitters(rows, [total * (k + 1) // shards for k in range(shards - 1)], int(tolerance * total / shards)) if n else []
+    # A boundary at or before the row's key puts the row one shard further.
     key = F.struct("high", "low")
 
     def search(lo: int, hi: int) -> Column:
@@ -130,15 +132,13 @@ def shard(docs: DataFrame, shards: int, size: Column, high: Column, low: Column,
         cut = F.struct(F.lit(cuts[mid][0]), F.lit(cuts[mid][1]))
         return F.when(key < cut, search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    part = search(0, len(cuts))
-    placed = rows.withColumn("part", part)
-    counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # MOST_PARTS at most
-    each, before = parts // shards, []
-    for k in range(parts):
-        before.append(0 if k % each == 0 else before[-1] + counts.get(k - 1, 0))
-    # Equal rows are alike, so any order among them is the same.
-    order = W.partitionBy("part").orderBy("high", "low", *(f"c{k}" for k in range(len(cols))))
-    start = F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1)
-    return placed.withColumn("slot", (F.row_number().over(order) - 1 + start).cast("long")).select(
-        *(F.col(f"c{k}").alias(c) for k, c in enumerate(cols)), F.floor(F.col("part") / each).cast("int").alias("shard"), "slot"
-    )
+    each = -(-n // (rows_each * shards))
+    part = F.pmod(F.xxhash64("both", F.lit(7)), F.lit(max(1, each)))
+    placed = rows.withColumn("shard", search(0, len(cuts))).withColumn("part", part)
+    # One row for each part, of which there is one for about ROWS_EACH rows.
+    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    start = placed.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    small = F.broadcast if each * shards <= BROADCAST_PARTS else (lambda d: d)
+    order = W.partitionBy("shard", "part").orderBy("both")
+    out = placed.withColumn("place", F.row_number().over(order) - 1).join(small(start), ["shard", "part"])
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(cols)), F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("place")).cast("long").alias("slot"))
