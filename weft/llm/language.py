@@ -3,13 +3,14 @@
 A text is a bag of hashed byte n-grams (1 to 3, lower case), counted over all of it.
 Linear support vector machines first choose the language family, one against the
 rest, then the languages of that family vote pairwise, one against one. Training
-takes a bounded sample of labelled rows, drawn by a hash of doc_id: ``train_rows``
-rows in all, shared equally by the labels. Only the features of the sampled rows
-come to the driver.
+takes a bounded sample of labelled texts, drawn by a hash of the text: ``train_rows``
+in all, shared equally by the labels. Texts that are equal and have the same label
+are one. Only the features of the sampled texts come to the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without
 any labelled row every text is ``und``; with one label every text with a letter has
-it; every row gives one row; further columns are ignored.
+it; every row gives one row, repeated rows and rows without a doc_id included; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Window as W
 
 from weft.llm.linear import fit_svm
 from weft.llm.texts import map_batches
+from weft.staging import discard, stage
 
 TRAIN_ROWS = 1600
 DIMENSIONS = 4096
@@ -117,31 +119,32 @@ class LanguageModel:
         return best, float(1 / (1 + np.exp(-3 * min(margin, least[best]))))
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """A model from a bounded sample of the rows for which ``learn`` holds and the label is not null."""
-    rows = docs.where(learn & F.col(label).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row for each language
-    if not sizes:
+def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageModel:
+    """A model from a bounded sample of the texts of rows for which ``learn`` holds and the label is not null.
+
+    The sample is the least hashes of each label's distinct texts: each task keeps its own least, so no label is sorted as a whole.
+    """
+    rows = docs.where(learn & F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_lot"))
+    lots = rows.select("_label", "_lot").distinct()
+    labels = lots.select("_label").distinct().count()
+    if not labels:
         return LanguageModel()
-    each = max(2, train_rows // len(sizes))
-    lot = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1 << 40))
-    most = F.lit(None)
-    for code, n in sizes.items():
-        most = F.when(F.col(label) == code, F.lit(min(1 << 40, ((1 << 40) * 2 * each) // n + (1 << 40) * 20 // n))).otherwise(most)
-    drawn = (
-        rows.where(lot < most)
-        .select(F.col(label).alias("_label"), F.col(text).alias("_text"), lot.alias("_lot"))
-        .withColumn("_n", F.row_number().over(W.partitionBy("_label").orderBy("_lot", F.xxhash64("_text"))))
-        .where(F.col("_n") <= each)
-    )
+    place = F.row_number().over(W.partitionBy("_label").orderBy("_lot"))
+    drawn = stage(lots.withColumn("_n", place).where(F.col("_n") <= max(2, train_rows // labels)).drop("_n"), "drawn")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            x = [scaled(counts(t or "")).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["label", "lot", "x"])
-
-    got = map_batches(drawn.select("_label", "_text", "_lot"), features, "label string, lot long, x binary").collect()
-    got.sort(key=lambda r: (r["label"], r["lot"], bytes(r["x"])))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            own = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]  # copies count once in a task, then once in all
+            x = [scaled(counts(batch.column(1)[k].as_py() or "")).astype(np.float16).tobytes() for k in own]
+            some = batch.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(x, pa.binary())], names=["label", "lot", "x"])
+
+    some = rows.join(F.broadcast(drawn), ["_label", "_lot"]).select("_label", "_text", "_lot")  # train_rows at most, or two for each label
+    got = map_batches(some, features, "label string, lot long, x binary").groupBy("label", "lot").agg(F.max("x").alias("x")).collect()
+    discard(drawn)
+    got.sort(key=lambda r: (r["label"], r["lot"]))
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in got]).astype(np.float32)
     return LanguageModel.fit(x, [r["label"] for r in got])
 
