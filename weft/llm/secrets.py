@@ -2,12 +2,17 @@
 
 Three base patterns (assignments, access keys, hex runs) give spans as they are. On
 top of them, base64 and hex candidates are decoded, and only what parses is reported:
-ASN.1 private keys whose nested lengths add up, OpenSSH keys whose length-prefixed
-fields fit, PEM blocks that hold either, and signed tokens whose header is a JSON
-object with an algorithm. Spans are code points, end exclusive.
+ASN.1 private keys whose nested lengths add up down to the inner key, OpenSSH keys
+whose length-prefixed fields fit, PEM blocks, plain or encoded once more, that hold
+either or an encrypted key (its own ASN.1 form, or a DEK-Info header before whole
+cipher blocks), and signed tokens whose header is a JSON object with an algorithm.
+Line breaks of a PEM block may be escaped, as in JSON. Spans are code points, end
+exclusive.
 
 Defined results: a null or empty text has no spans; every row gives one row, equal
-rows and rows without a doc_id included; further columns are ignored.
+rows and rows without a doc_id included; a frame around anything but a key is no
+secret, nor one whose marks differ or hold another mark between them; ASN.1 nested
+over DEEPEST levels is no key; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +42,11 @@ HEX = re.compile("[0-9a-f]{32,}")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{40,}={0,2}")
 _LONG_HEX = re.compile("[0-9A-Fa-f]{80,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_BEGIN = re.compile("-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----")
-_END = re.compile("-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----")
+_MARK = re.compile("-----(BEGIN|END) ((?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY)-----")
+_HEADER = re.compile(r"([A-Za-z0-9-]+):[ \t]*(.*)")
+_DEK = re.compile("([A-Z0-9-]{3,30}),([0-9A-Fa-f]{16,32})")
+_BODY = re.compile("[A-Za-z0-9+/]+={0,2}")
+DEEPEST = 16
 
 Span = tuple[str, int, int]
 
@@ -56,28 +64,70 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def der_key(data: bytes) -> bool:
-    """True for PKCS #1, PKCS #8 and SEC 1 private keys, trailing bytes allowed."""
+def _whole(data: bytes, at: int, end: int) -> bool:
+    """True if elements fill ``at`` to ``end``, and within constructed ones their own contents, all the way down."""
+    todo = [(at, end, 0)]
+    while todo:
+        at, end, deep = todo.pop()
+        while at < end:
+            part = _tlv(data, at, end)
+            if part is None or deep > DEEPEST:
+                return False
+            if part[0] & 0x20:
+                todo.append((part[1], part[2], deep + 1))
+            at = part[2]
+    return True
+
+
+def _parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    out = []
+    while at < end:
+        out.append(_tlv(data, at, end))
+        at = out[-1][2]
+    return out
+
+
+def _sequence(data: bytes) -> list[tuple[int, int, int]]:
+    """The elements of the outer sequence, if all that it holds is whole; trailing bytes are allowed."""
     top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30:
-        return False
-    parts, at = [], top[1]
-    while at < top[2]:
-        part = _tlv(data, at, top[2])
-        if part is None:
-            return False
-        parts.append(part)
-        at = part[2]
+    return _parts(data, top[1], top[2]) if top and top[0] == 0x30 and _whole(data, top[1], top[2]) else []
+
+
+def _algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+    """True for a sequence that begins with an object identifier."""
+    inner = _parts(data, part[1], part[2]) if part[0] == 0x30 else []
+    return bool(inner) and inner[0][0] == 0x06 and inner[0][2] > inner[0][1]
+
+
+def der_key(data: bytes) -> bool:
+    """True for PKCS #1, PKCS #8, SEC 1 and DSA private keys, trailing bytes allowed."""
+    parts = _sequence(data)
     tags = [t for t, _, _ in parts]
     if len(parts) < 2 or tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
     version = data[parts[0][1]]
+    size = [e - s for _, s, e in parts]
     if version <= 1 and len(parts) >= 9 and set(tags[:9]) == {0x02}:
-        return parts[1][2] - parts[1][1] >= 16  # an RSA modulus
-    if version <= 1 and len(parts) >= 3 and tags[1:3] == [0x30, 0x04]:
-        oid = _tlv(data, parts[1][1], parts[1][2])
-        return oid is not None and oid[0] == 0x06 and parts[2][2] > parts[2][1]
-    return version == 1 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+        return size[1] >= 16  # an RSA modulus
+    if version == 0 and len(parts) == 6 and set(tags) == {0x02}:
+        return size[1] >= 32 and size[2] >= 16  # a DSA key: modulus and subgroup
+    if version <= 1 and len(parts) >= 3 and tags[2] == 0x04 and _algorithm(data, parts[1]) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
+        return _inner_key(data[parts[2][1] : parts[2][2]])
+    return version == 1 and tags[1] == 0x04 and size[1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+
+
+def _inner_key(data: bytes) -> bool:
+    """True if a PKCS #8 octet string holds just one whole element: a key's sequence, its octets, or its number."""
+    top = _tlv(data, 0, len(data))
+    if top is None or top[2] != len(data):
+        return False
+    return der_key(data) if top[0] == 0x30 else top[0] in (0x02, 0x04) and top[2] - top[1] >= 16
+
+
+def encrypted_key(data: bytes) -> bool:
+    """True for an encrypted PKCS #8 key: an algorithm with parameters, and octets."""
+    parts = _sequence(data)
+    return len(parts) == 2 and _algorithm(data, parts[0]) and len(_parts(data, *parts[0][1:])) == 2 and parts[1][0] == 0x04 and parts[1][2] - parts[1][1] >= 16
 
 
 def openssh_key(data: bytes) -> bool:
@@ -137,6 +187,39 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def pem_key(label: str, body: str) -> bool:
+    """True if what stands between two marks is a key of some kind, in base64 and nothing else but headers."""
+    lines = [line.strip() for line in body.replace("\\r", "").replace("\\n", "\n").split("\n")]
+    while lines and not lines[0]:
+        lines.pop(0)
+    headers = {}
+    while lines and (m := _HEADER.fullmatch(lines[0])):
+        headers[m[1]] = m[2]
+        lines.pop(0)
+    packed = "".join("".join(lines).split())
+    if not _BODY.fullmatch(packed):
+        return False
+    data = _decode64(packed)
+    if label.startswith("ENCRYPTED"):
+        return encrypted_key(data)
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):
+        return bool(_DEK.fullmatch(headers.get("DEK-Info", ""))) and len(data) >= 16 and len(data) % 8 == 0
+    return der_key(data) or openssh_key(data)
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of PEM blocks that hold a key: a BEGIN mark and the next one, if that is the END of the same kind."""
+    found, begin = [], None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            if begin[2] == m[2] and pem_key(m[2], text[begin.end() : m.start()]):
+                found.append((begin.start(), m.end()))
+            begin = None
+    return found
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of candidates that decode and parse as keys or signed tokens."""
     found: list[Span] = []
@@ -146,24 +229,13 @@ def confirmed_spans(text: str) -> list[Span]:
             found.append(("der", *m.span()))
         elif head.startswith(b"openssh-key-v1\0") and openssh_key(_decode64(m[0])):
             found.append(("openssh", *m.span()))
+        elif head.startswith(b"-----BEGIN ") and pem_spans(_decode64(m[0]).decode("latin-1")):
+            found.append(("pem", *m.span()))
     for m in _LONG_HEX.finditer(text):
         if m[0].startswith("30") and der_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             found.append(("der", *m.span()))
     if "-----BEGIN " in text:
-        ends = [m.span() for m in _END.finditer(text)]
-        k = past = 0
-        for m in _BEGIN.finditer(text):
-            while k < len(ends) and ends[k][0] < m.end():
-                k += 1
-            if k == len(ends):
-                break
-            if m.start() < past:
-                continue
-            body = text[m.end() : ends[k][0]]
-            data = _decode64("".join(body.split()))
-            if "ENCRYPTED" in m[0] + body or der_key(data) or openssh_key(data):
-                found.append(("pem", m.start(), ends[k][1]))
-                past = ends[k][1]
+        found += [("pem", s, e) for s, e in pem_spans(text)]
     found += [("token", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])]
     return found
 
