@@ -1,15 +1,21 @@
 """SentencePiece byte-pair encoding by vectorised merge rounds.
 
 No piece of a supported model has a space behind anything else, so a text falls into
-words (spaces, then what follows) that never merge with one another. The distinct
-words of a batch lie in one flat symbol array. In each round every word finds its
-best pair with one segmented minimum over (rank, position), all words merge that pair
-at once, leftmost first, the array is compacted, and only the pairs beside a merge are
-ranked anew; a word without a pair leaves. Merging one pair of a word at a time is
-what makes the result equal to the library's, whose queue may prefer a pair that a
-merge has just made. Words of over LONG symbols would need as many rounds as symbols;
-they are cut where no piece spans two characters, and what is still long goes through
-a queue, in n log n steps. Encoded words are remembered in two generations of fixed size.
+words (spaces, then what follows) that never merge with one another; a word is cut
+further where no piece spans two neighbouring characters. The distinct words of a batch
+lie in one flat symbol array. In each round the pairs of least rank within reach of a
+longest piece are found by segmented minima, all of them merge at once, leftmost first
+where they overlap or follow one another, the array is compacted, and only the pairs
+beside a merge are ranked anew; a part without a pair leaves.
+
+This is equal to the library's queue, which merges the best pair of a word first, the
+leftmost of equal ones: a merge further away than the longest piece cannot touch a pair
+before its turn, so whatever is least within that reach may go. Where a merge makes a
+pair that the queue would prefer, those behind it wait for the next round, and so do
+equal pairs behind one that has a lesser pair in its own reach. A word of any length thus
+takes as many rounds as its merges nest, not as many as it has symbols.
+
+Encoded words are remembered in two generations of fixed size.
 
 Defined results: a null or empty text is the begin and end ids alone and decodes to
 nothing; every row gives one row; further columns are ignored.
@@ -18,7 +24,6 @@ nothing; every row gives one row; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,13 +36,30 @@ from pyspark.sql import types as T
 
 from weft.llm.texts import map_batches
 
-LONG = 400
 REMEMBERED = 120_000  # words in each of two generations
 _SPACE = "▁"
 _NONE = np.int64(1) << 40
 _ROOM = 1 << 20  # symbols merged at a time
 
 
+def window_least(a: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        a = np.minimum(a[:-span], a[span:])
+        span *= 2
+    return np.minimum(a[: len(a) - (width - span)], a[width - span :])
+
+
+def beside(at: np.ndarray, sym: np.ndarray, part: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols beside each merge at its turn, those before it done; -1 where there is none."""
+    left = np.where((at > 0) & (part[at - 1] == part[at]), sym[at - 1], -1)
+    follows = np.nonzero((np.diff(at) == 2) & (part[at[1:]] == part[at[:-1]]))[0] + 1
+    left[follows] = made[follows - 1]
+    far = np.minimum(at + 2, len(sym) - 1)
+    return left, np.where((at + 2 < len(sym)) & (part[far] == part[at]), sym[far], -1)
+
+
 class PieceModel:
     """Tables of a byte-pair model with byte fallback and identity normalisation."""
 
@@ -81,7 +103,8 @@ class PieceModel:
         self.key = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.key.tolist()], np.int64)
         self.made = np.array([pairs[k][1] for k in self.key.tolist()], np.int64)
-        self.beside = {t[k : k + 2] for t in text.values() for k in range(len(t) - 1)}
+        self.reach = max(map(len, text.values()), default=0) + 1
+        self.beside = np.array(sorted({ord(t[k]) << 21 | ord(t[k + 1]) for t in text.values() for k in range(len(t) - 1)}), np.int64)
         inner = {c for t in text.values() if len(t) > 1 for c in t}
         lone = "\n" not in inner
         self.words = re.compile(" *[^ \n]+| +|\n" if lone else " *[^ ]+| +").findall
@@ -95,75 +118,80 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], _NONE), at
 
-    def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Final symbols and their words, given first symbols by ascending word; negative ones never merge."""
+    def merge(self, sym: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols and their parts, given first symbols by ascending part; negative ones never merge."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
 
         def ranked(i: np.ndarray) -> np.ndarray:
             r = np.full(len(i), _NONE)
             ok = i + 1 < len(sym)
-            ok[ok] = word[i[ok]] == word[i[ok] + 1]
+            ok[ok] = part[i[ok]] == part[i[ok] + 1]
             r[ok] = self._ranks(sym[i[ok]], sym[i[ok] + 1])[0]
             return r
 
         rank = ranked(np.arange(len(sym)))
         while len(sym):
-            first = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
-            best = np.minimum.reduceat(rank << 22 | np.arange(len(sym)), first)
-            going = best >> 22 < _NONE
-            if not going.all():  # words without a pair leave
-                stay = np.repeat(going, np.diff(np.append(first, len(sym))))
-                done.append((sym[~stay], word[~stay]))
-                shift = np.cumsum(~stay)
-                sym, word, rank = sym[stay], word[stay], rank[stay]
-                best = best[going]
+            first = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
+            size = np.diff(np.append(first, len(sym)))
+            least = np.minimum.reduceat(rank, first)
+            going = least < _NONE
+            if not going.all():  # parts without a pair leave
+                stay = np.repeat(going, size)
+                done.append((sym[~stay], part[~stay]))
+                sym, part, rank = sym[stay], part[stay], rank[stay]
+                size, least = size[going], least[going]
                 if not len(sym):
                     break
-                at = (best & ((1 << 22) - 1)) - shift[best & ((1 << 22) - 1)]
-            else:
-                at = best & ((1 << 22) - 1)
-            sym[at] = self.made[self._ranks(sym[at], sym[at + 1])[1]]
+            at, waits = self._ready(rank, size, least)
+            chain = np.concatenate([[True], (np.diff(at) > self.reach) | (part[at[1:]] != part[at[:-1]])])
+            run = np.concatenate([[True], (np.diff(at) != 1) | chain[1:]])
+            k = np.arange(len(at))
+            even = (k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 0  # the rest lose a symbol to the pair before
+            chain = np.cumsum(chain)
+            at, waits, chain = at[even], waits[even], chain[even]
+            made = self.made[self._ranks(sym[at], sym[at + 1])[1]]
+            left, right = beside(at, sym, part, made)
+            better = np.minimum(self._ranks(left, made)[0], self._ranks(made, right)[0]) < rank[at]
+            opens = np.concatenate([[True], chain[1:] != chain[:-1]])
+            waits[1:] |= better[:-1] & ~opens[1:]
+            held = np.cumsum(waits)
+            free = held == (held - waits)[opens][np.cumsum(opens) - 1]
+            at, made = at[free], made[free]
+            sym[at] = made
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, word, rank = sym[keep], word[keep], rank[keep]
+            sym, part, rank = sym[keep], part[keep], rank[keep]
             at -= np.arange(len(at))  # one symbol has gone before each later merge
             rank[at] = ranked(at)
             before = at[at > 0] - 1
             rank[before] = ranked(before)
         if not done:
-            return sym, word
-        sym, word = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        return sym[order], word[order]
-
-    def _queued(self, word: list[int]) -> list[int]:
-        """The same merges for one long word, by a queue of pairs."""
-        sym, n = list(word), len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue: list[tuple[int, int, int, int]] = []
-
-        def add(i: int) -> None:
-            j = after[i] if i >= 0 else n
-            if i >= 0 and j < n and sym[i] >= 0 and sym[j] >= 0 and (hit := self.pairs.get(sym[i] << 20 | sym[j])):
-                heapq.heappush(queue, (hit[0], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            add(i)
-        dead = -(1 << 40)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = self.pairs[a << 20 | b][1], dead, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            add(before[i])
-            add(i)
-        return [s for s in sym if s != dead]
-
-    def _symbols(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            return sym, part
+        sym, part = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(part, kind="stable")
+        return sym[order], part[order]
+
+    def _ready(self, rank: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that are least within reach, and whether an equal one before them is not."""
+        near = np.repeat(least, size)
+        wide = size > self.reach + 2  # elsewhere the whole part is within reach
+        if not wide.any():
+            at = np.nonzero(rank == near)[0]
+            return at, np.zeros(len(at), bool)
+        among = np.nonzero(np.repeat(wide, size))[0]
+        # Each wide part lies between paddings, so windows don't cross parts.
+        place = np.arange(len(among)) + self.reach * (1 + np.repeat(np.arange(wide.sum()), size[wide]))
+        padded = np.full(place[-1] + 1 + self.reach, _NONE)
+        padded[place] = rank[among]
+        near[among] = window_least(padded, 2 * self.reach + 1)[place - self.reach]
+        ready = (rank == near) & (rank < _NONE)
+        padded[place[ready[among]]] = _NONE
+        waits = np.zeros(len(rank), bool)
+        waits[among] = window_least(padded, self.reach)[place - self.reach] == rank[among]
+        at = np.nonzero(ready)[0]
+        return at, waits[at]
+
+    def _symbols(self, points: np.ndarray) -> np.ndarray:
         found = self.of_point[points]
         return np.where(found >= 0, found, ~points.astype(np.int64))
 
@@ -177,19 +205,25 @@ class PieceModel:
             total += len(w)
         self._learn(words[at:])
 
-    def _learn(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) <= LONG]
-        parts = [(self._symbols("".join(short)), np.repeat(np.arange(len(short)), [len(w) for w in short]))]
-        order = short + [w for w in words if len(w) > LONG]
-        for k in range(len(short), len(order)):
-            w = order[k]
-            cuts = [0, *(k + 1 for k in range(len(w) - 1) if w[k : k + 2] not in self.beside), len(w)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                part = self._symbols(w[s:e])
-                part = np.array(self._queued(part.tolist()), np.int64) if e - s > LONG else self.merge(part, np.zeros(e - s, np.int64))[0]
-                parts.append((part, np.full(len(part), k)))
-        parts[0] = self.merge(*parts[0])
-        sym, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def _learn(self, order: list[str]) -> None:
+        if not order:
+            return
+        points = np.frombuffer("".join(order).encode("utf-32-le"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(order)), [len(w) for w in order])
+        pair = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), max(len(self.beside) - 1, 0))
+        cut = (word[1:] != word[:-1]) | (self.beside[at] != pair if len(self.beside) else True)
+        part = np.concatenate([[0], np.cumsum(cut)])
+        of = word[np.concatenate([[True], cut])]  # the word of each part
+        sym, out = self._symbols(points), []
+        ends = np.nonzero(np.concatenate([cut, [True]]))[0] + 1
+        start = 0
+        while start < len(sym):  # whole parts of about _ROOM symbols together
+            end = int(ends[min(np.searchsorted(ends, start + _ROOM), len(ends) - 1)])
+            out.append(self.merge(sym[start:end], part[start:end]))
+            start = end
+        sym, word = (np.concatenate(x) for x in zip(*out, strict=True))
+        word = of[word]
         odd = np.nonzero((sym < 0) | (sym >= self.pieces))[0]
         if len(odd):  # characters without a piece become byte pieces
             raw = [(chr(~s) if s < 0 else self.lone[s]).encode() for s in sym[odd].tolist()]
