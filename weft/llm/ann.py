@@ -11,7 +11,10 @@ smallest distance for the trees.
 
 Equal vectors are one entry of the index, with the TOP + 1 smallest ids, and are
 expanded when results are made, so a vector that a third of all rows share is no
-longer than another. Queries meet an index cell in blocks of QUERY_BLOCK.
+longer than another. Queries go to the cells that hold the leaves they have opened. A
+cell that more than QUERY_BLOCK of them visit meets them in blocks: only there are its
+rows sent once for each block, and cells that nobody visits are not sent at all. What
+is exchanged thus follows the pairs that are ranked, not the product of both tables.
 
 On vectors without any structure (uniform on a sphere, 64 components) 20 neighbours
 need about half of all rows to be looked at for a recall of 0.9, whatever their
@@ -43,7 +46,7 @@ SAMPLE = 65_536
 LEAF = 256  # sampled rows in a leaf
 SHARE = 1.3
 CELL_ROWS = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 _TOGETHER = 1024  # queries at a time
 
 
@@ -201,14 +204,14 @@ def search(
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, block, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(batch.column(2), dim), strict=True):
+            for cid, q in zip(batch.column(0).to_pylist(), _matrix(batch.column(1), dim), strict=True):
                 cells: dict[int, list[int]] = {}
                 for t, leaf in sent.value.probes(q, share):
                     cells.setdefault(t * groups + leaf * groups // len(sent.value.trees[t].sizes), []).append(leaf)
                 m = len(cells)
                 leaves = pa.array(list(cells.values()), pa.list_(pa.int64()))
                 copies = pa.ListArray.from_arrays(np.arange(0, (m + 1) * dim, dim, dtype=np.int32), pa.array(np.tile(q, m)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array([block] * m, pa.int64()), pa.array([cid] * m, pa.int64()), leaves, copies], names=["cell", "block", "qid", "leaves", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array([cid] * m, pa.int64()), leaves, copies], names=["cell", "qid", "leaves", "q"])
 
     def rank(rows: pa.Table, asking: pa.Table) -> pa.Table:
         """A row for each query: the best of the leaves of this cell that it asked for."""
@@ -247,14 +250,12 @@ def search(
         return pa.table({"qid": names[local], "cid": what, "score": score})
 
     distinct = own.select("cid").distinct().join(index, "cid").select("cid", "v")
-    blocks = max(1, -(-own.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("block")
-    asking = distinct.select("cid", block, "v").mapInArrow(ask, "cell long, block long, qid long, leaves array<long>, q array<double>")
+    asking = stage(distinct.mapInArrow(ask, "cell long, qid long, leaves array<long>, q array<double>"), "asking")
+    # One row for each cell that is visited, of which there is one for CELL_ROWS rows and tree.
+    blocks = asking.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("blocks"))
+    asking = asking.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), "blocks")).drop("blocks")
     placed = index.select("cid", "v").mapInArrow(put, "cell long, leaf long, cid long, v array<double>")
-    if blocks > 1:
-        placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    else:
-        placed = placed.withColumn("block", F.lit(0).cast("long"))
+    placed = placed.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     ranked = placed.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(rank, "qid long, cids array<long>, scores array<double>")
     some = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-own.count() // QUERY_BLOCK) * 8))).alias("some")
     best = ranked.withColumn("some", some).groupBy("some").applyInArrow(merge, "qid long, cid long, score double")
