@@ -3,7 +3,13 @@
 The trees (Spark's own gradient boosting, in the JVM) see lexical features only:
 lengths, depth, digit ratio, entropy, parameters, and statistics of the host's suffix.
 They learn from labelled URLs, by default those that a rule judges, at most TRAIN_ROWS
-of them, drawn by a hash. Statistics of suffixes cover all URLs.
+of them, drawn by a hash. Statistics of suffixes cover all URLs, and all that ``learn``
+allows to be labels. URLs fall into FOLDS by a hash, and the share of blocked ones that a
+labelled URL is described by leaves out its own fold, so the trees cannot read their
+answer from it.
+
+Suffix statistics are broadcast up to SUFFIX_ROWS suffixes. Beyond, those that more than
+one in SUFFIX_ROWS URLs have are, and the others, none of which is long, are exchanged.
 
 Defined results: a null URL or one without ``://`` has an empty host and path; no rule
 fits it, and the trees judge it as they do any other. Without labelled URLs of both
@@ -19,11 +25,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.staging import stage
+from weft.staging import discard, stage
 
 TRAIN_ROWS = 20_000
 SUFFIX_ROWS = 20_000
 TREES, DEPTH = 20, 3
+FOLDS = 8
 
 #: Verdict, host and path of each rule.
 RULES = (
@@ -76,8 +83,38 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
     return [v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=False)]
 
 
-def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[tuple[str, str, str], ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``keep`` columns, host, path, rule, verdict and p_block, the trees' probability of block."""
+def _described(base: DataFrame, learn: Column) -> DataFrame:
+    """``base`` with its label (1 block, 0 allow, null: none), and the statistics of its suffix."""
+    base = base.withColumn("label", F.when(learn & (F.col("ruled") == "block"), 1.0).when(learn & (F.col("ruled") == "allow"), 0.0))
+    base = base.withColumn("fold", F.pmod(F.xxhash64("u", F.lit(8)), F.lit(FOLDS)).cast("int"))
+    own = [F.when(F.col("fold") == k, F.col("label")) for k in range(FOLDS)]
+    known, bad = F.array(*map(F.count, own)), F.array(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in own))
+    stats = stage(base.groupBy(F.col("suffix").alias("s")).agg(F.count("*").alias("seen"), known.alias("known"), bad.alias("bad")), "suffixes")
+    n, rows = stats.agg(F.count("*"), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    same = F.col("suffix") == F.col("s")
+    if n <= SUFFIX_ROWS:
+        rows = base.join(F.broadcast(stats), same)
+    else:
+        often = F.col("seen") * SUFFIX_ROWS > rows
+        rows = base.join(F.broadcast(stats.where(often)), same).unionByName(
+            base.join(F.broadcast(stats.where(often).select("s")), same, "left_anti").join(stats.where(~often), same)
+        )
+
+    def others(of: str) -> Column:
+        whole = F.aggregate(of, F.lit(0.0), lambda a, x: a + x)
+        return whole - F.when(F.col("label").isNotNull(), F.get(of, F.col("fold"))).otherwise(0)
+
+    blocked = (others("bad") + 1) / (others("known") + 2)
+    return rows.withColumns({"f_suffix": F.length("suffix").cast("double"), "f_seen": F.log1p("seen"), "f_blocked": blocked})
+
+
+def judge(
+    pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[tuple[str, str, str], ...] = RULES, train_rows: int = TRAIN_ROWS, learn: Column | None = None
+) -> DataFrame:
+    """``keep`` columns, host, path, rule, verdict and p_block, the trees' probability of block.
+
+    ``learn`` may hold back URLs (column ``u``) from training and from the suffixes' shares, to see how well the trees do on them.
+    """
     base = pages.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), F.col(url).alias("u"))
     host, path = parts(F.col("u"))
     base = base.withColumns({"host": host, "path": path})
@@ -85,17 +122,8 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     # The suffix is what stands behind the last dot; its statistics come from all URLs.
     base = base.withColumns({"rule": name, "ruled": verdict, "suffix": F.regexp_extract("host", "[^.]*$", 0)})
     base = stage(base.select("*", *lexical(F.col("u"), F.col("host"), F.col("path"))), "urls")
-    blocked = F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0)
-    stats = base.groupBy("suffix").agg(F.count("*").alias("seen"), F.count("ruled").alias("known"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("bad"))
-    stats = stage(
-        stats.select(
-            F.col("suffix").alias("s"), F.length("suffix").cast("double").alias("f_suffix"), F.log1p("seen").alias("f_seen"), ((F.col("bad") + 1) / (F.col("known") + 2)).alias("f_blocked")
-        ).coalesce(1),
-        "suffixes",
-    )
-    small = F.broadcast if stats.count() <= SUFFIX_ROWS else (lambda d: d)
-    rows = base.join(small(stats), F.col("suffix") == F.col("s")).withColumn("label", blocked)
-    sizes = base.where("ruled is not null").groupBy("ruled").count().collect()
+    rows = _described(base, F.lit(True) if learn is None else learn)
+    sizes = rows.where("label is not null").groupBy("label").count().collect()
     result = [*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), "host", "path", "rule"]
     if len(sizes) < 2:
         return rows.select(*result, F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("p_block"))
@@ -107,6 +135,7 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     if some.select("label").distinct().count() < 2:
         return rows.select(*result, F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("p_block"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=5).fit(some)
+    discard(some)
     judged = model.transform(packed.transform(rows)).withColumn("p_block", vector_to_array("probability")[1])
     own = F.when(F.col("p_block") > 0.5, "block").otherwise("allow")
     return judged.select(*result, F.coalesce("ruled", own).alias("verdict"), "p_block")
