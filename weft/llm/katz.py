@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.texts import LOWER, map_batches, utf8
-from weft.staging import discard, stage
+from weft.staging import discard, release, stage
 
 FIRST = 5  # counts that are discounted
 BLOCK_TOKENS = 2_200_000
@@ -395,6 +395,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     blocks = stage(_blocks(docs, text, doc_id, held_out, word_parts), "blocks", ["kind"])
     words = stage(blocks.where("kind = 1").groupBy("part").applyInArrow(_words(word_parts), _SQL_ROWS), "words")
     discard(blocks, "kind=1")
+    release(docs.sparkSession)
     # At most sqrt(2 N) different counts, by partition.
     one = Unigrams.of(_added(words.where("kind = 3").select("data").collect()))
     pairs = (
@@ -406,6 +407,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     del pairs
     discard(blocks)
     discard(words)
+    release(docs.sparkSession)
     d = discounts(_added(answers.where("kind = 7").select("data").collect()))
     dealt: dict[int, tuple] = {}
     for r in answers.where("kind = 8").select("data").collect():  # HOT * pair_parts histories at most
