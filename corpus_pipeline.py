@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import language, mixing, nearcopies, pieces, secrets
-from weft.staging import discard, stage
+from weft.staging import discard, release, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(step(spark, docs, sf_dir), name)
         if kept is not None:
             discard(kept)
+            release(spark)
         kept = docs
     return docs
