@@ -1,13 +1,21 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near copies: SimHash trie join, then what its few bits cannot reach, all by exact Jaccard.
 
-Rows with equal sets meet first, so copies count once. Sets become candidates where one of
-BANDS bands of ROWS minimum hashes is equal, and a candidate pair counts only if the sets
-themselves, made anew from both texts, have at least the similarity asked for. Two sets of
-similarity s share no band with probability (1 - s^ROWS)^BANDS, which is 5e-8 at 0.8.
+Rows with equal sets of word shingles meet first, so copies count once. The sets'
+fingerprints go through the binary trie self-join of ``simhash``, and its links connect
+the closest copies. Two sets of Jaccard similarity 0.8 differ in about 10 of 64 bits,
+though, and a trie walked with so wide a budget prunes nothing: it compares all pairs.
+So sets that are still apart become candidates where one of BANDS bands of ROWS minimum
+hashes is equal; two sets of similarity s share no band with probability
+(1 - s^ROWS)^BANDS, which is 5e-8 at 0.8. Wherever a candidate comes from, it counts only
+if the sets themselves, made anew from both texts, have at least the similarity asked for.
 
 A bucket's pairs are compared unless both are connected already. Buckets of a large group
 would hold pairs with its square: there all are compared with a few pivots first, and only
 what stays apart is compared with the rest. No pair of a bucket is left out.
+
+Defined results: a null or empty text has the empty set, like any other without words;
+rows without a doc_id stay where no other row of their group has one; of equal rows the
+first stored one stays; an empty table gives an empty result; further columns come along.
 """
 
 from __future__ import annotations
@@ -22,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from weft.llm.simhash import shingles
+from weft.llm.simhash import majority, shingles, trie_links
 from weft.llm.texts import map_batches, utf8
 from weft.operators.components import connected_components
-from weft.staging import stage
+from weft.staging import discard, stage
 
 SHINGLE = 5
 #: Least similarity, as a fraction that integers can check.
@@ -67,19 +75,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, the identity of each row's set, and its band keys; ``_text`` comes along."""
-    schema = docs.select(*keep, "_text").schema.add("set", "long").add("bands", ArrayType(LongType()))
+    """``keep`` columns, the identity of each row's set, its fingerprint and its band keys; ``_text`` comes along."""
+    schema = docs.select(*keep, "_text").schema.add("set", "long").add("fp", "long").add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bands, known = [], [], {}
+            ids, prints, bands, known = [], [], [], {}
             for t in utf8(batch.column(len(keep))):
                 if t not in known:
                     h = shingle_set(t)
-                    known[t] = np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64).item(), band_keys(h)
-                for out, x in zip((ids, bands), known[t], strict=True):
+                    parts = (h[k : k + _CHUNK] for k in range(0, len(h), _CHUNK))
+                    known[t] = np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64).item(), majority(parts), band_keys(h)
+                for out, x in zip((ids, prints, bands), known[t], strict=True):
                     out.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in (ids, prints)), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
     return map_batches(docs.select(*keep, "_text"), run, schema)
 
@@ -103,11 +112,26 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def roots(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of sets that are connected to a smaller one, from buckets (key, set) and a text of each set."""
-    left = members.select("key", "set", F.col("set").alias("root"))
-    links = tried = found = before = None
-    turn = 0
+def trie_candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints the trie join links, and of those whose fingerprints are equal."""
+    least = stage(sets.groupBy("fp").agg(F.min("set").alias("least")), "prints")
+    same = sets.join(least, "fp").where("set != least").select(*_pair("set", "least"))
+    links = trie_links(least)
+    for end in "ab":
+        links = links.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"s{end}")), end)
+    return stage(links.select(*_pair("sa", "sb")).unionByName(same).distinct(), "pairs")
+
+
+def _joined(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+
+
+def roots(members: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """(node, root) of sets that are connected to a smaller one, from buckets (key, set), a text of each set and pairs to begin with."""
+    links = stage(_confirmed(tried, texts), "links")
+    found = connected_components(links)
+    left = stage(_joined(members, found), "left")
+    before, turn = None, 0
     while True:
         turns = [xxhash.xxh64_intdigest(b"pivot", turn * _PIVOTS + k) >> 1 for k in range(_PIVOTS)]
         least = [F.min(F.col("set").bitwiseXOR(F.lit(c))).alias(f"p{k}") for k, c in enumerate(turns)]
@@ -119,7 +143,7 @@ def roots(members: DataFrame, texts: DataFrame) -> DataFrame:
         )
         of = stage(of, "buckets")
         rest = of.agg(F.count("*"), F.sum(F.when(F.col("others") > FEW, F.col("others")))).first()
-        if not rest[0] and found is not None:
+        if not rest[0]:
             return found
         whole = not rest[1] or (before is not None and 2 * rest[1] > before)  # pivots no longer help: all that is open
         before = rest[1]
@@ -130,17 +154,15 @@ def roots(members: DataFrame, texts: DataFrame) -> DataFrame:
         if not whole:
             pivots = F.explode(F.array(*(F.col(f"p{k}").bitwiseXOR(F.lit(c)) for k, c in enumerate(turns)))).alias("x")
             pairs = pairs.unionByName(now.where(~few).select("set", pivots).where("x != set").select(*_pair("x", "set")))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        ok = stage(_confirmed(pairs, texts), "links")
-        links, tried = (ok, pairs) if links is None else (links.unionByName(ok), tried.unionByName(pairs))
+        pairs = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = links.unionByName(stage(_confirmed(pairs, texts), "links")), tried.unionByName(pairs)
         found = connected_components(links)
         if whole:
             return found
         again = members.join(of.where(F.col("others") > FEW).select("key"), "key", "left_semi")
-        left = stage(again.join(found.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root")), "left")
+        done, left = (of, left), stage(_joined(again, found), "left")
+        for t in done:
+            discard(t)
         turn += 1
 
 
@@ -151,13 +173,14 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     at = names[cols.index(text)]
     named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True) if n != at), F.col("doc_id").alias("_id"), F.col(f"`{text}`").alias("_text"))
     rows = stage(_sets(named, tuple(n for n in (*names, "_id") if n != at)).withColumn(row, F.monotonically_increasing_id()), "rows")
-    first = stage(rows.groupBy("set").agg(F.min(row).alias(row)), "sets")
+    first = stage(rows.groupBy("set").agg(F.min(row).alias(row), F.min("fp").alias("fp")), "sets")
     each = rows.join(first.select(row), row, "left_semi").select("set", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("key")
     members = stage(each.join(shared, "key"), "members")
-    asked = members.select("set").distinct().join(first, "set").select(row)
-    texts = stage(rows.select(row, "set", "_text").join(asked, row, "left_semi").select("set", "_text"), "texts")
-    root = roots(members, texts).withColumnRenamed("node", "set")
+    pairs = trie_candidates(first.select("set", "fp"))
+    asked = members.select("set").unionByName(pairs.select(F.col("a").alias("set"))).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    texts = stage(rows.select(row, "set", "_text").join(asked.join(first, "set").select(row), row, "left_semi").select("set", "_text"), "texts")
+    root = roots(members, texts, pairs).withColumnRenamed("node", "set")
     group = first.select("set").join(root, "set", "left").select("set", F.coalesce("root", "set").alias("root"))
     best = (
         rows.select(row, "set", F.col("_id").alias("doc_id"))

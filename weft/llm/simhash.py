@@ -16,7 +16,7 @@ null component_id; an empty table gives an empty result; further columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,13 @@ def shingles(text: bytes | None, width: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a UTF-8 text over its word shingles, repeats included."""
+    return majority(shingles(text, width))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The signed 64-bit number of the bits that are set in over half of the hashes; zero for none."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingles(text, width):
+    for h in hashes:
         n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(ones * 2 > n, bitorder="little")
