@@ -1,7 +1,9 @@
 """The corpus pipeline: language, near-duplicates, secrets, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
-``run`` writes each stage's result to the shared folder and reads it again.
+``run`` writes each stage's result to the shared folder and reads it again. Stages read
+the columns of documents (COLUMNS) and return these alone: a table's further columns are
+left out. A null in any column, repeated rows and empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group whose 5-word shingles are similar by 0.8 or more: the one with the smallest doc_id."""
+    """One row of each group whose 5-word shingles are similar by 0.8 or more: the one with the smallest doc_id.
+
+    The SimHash trie join links the closest copies; bands find those that differ in more bits; all pairs are checked on their texts.
+    """
     return nearcopies.keep_one(docs.select(*COLUMNS))
 
 
