@@ -4,6 +4,7 @@ import itertools
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from conftest_llm import prose
 
@@ -60,18 +61,37 @@ def test_stage_finds_near_copies(spark, make_docs, near_rows):
     assert all(r["text"] == text[r["doc_id"]] for r in got)
 
 
-def test_large_groups_by_pivots(spark, make_docs, monkeypatch):
+@pytest.mark.parametrize("block", [nearcopies.BLOCK, 1500])
+def test_large_groups_in_blocks(spark, make_docs, monkeypatch, block):
     """Buckets over FEW leave no pair out, though most members are first compared with pivots only."""
     monkeypatch.setattr(nearcopies, "FEW", 2)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "_CELLS", 300)
     rng = random.Random(7)
     rows = []
-    for _ in range(3):
+    for far in (5, 9, 14):  # many of the later ones are apart from what they were made of
         base = prose(rng, 150)
-        rows += [(len(rows) + k, changed(rng, base, rng.randint(1, 5)), "en", "a", 1) for k in range(30)]
+        for k in range(40):
+            text = changed(rng, base, rng.randint(1, far))
+            rows.append((len(rows), text, "en", "a", 1))
+            if k % 8 == 0:  # and have near copies of their own
+                rows.append((len(rows), changed(rng, text, 1), "en", "a", 1))
     kept = nearcopies.keep_one(spark.read.parquet(make_docs(rows) + "/documents.parquet"))
     assert sorted(r["doc_id"] for r in kept.collect()) == slow_kept(rows)
 
 
+def test_blocks_equal_sets():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64))
+    sets = [base[rng.random(len(base)) < 0.95] for _ in range(40)] + [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(1, 40)]
+    sets += [np.empty(0, np.uint64), base[:40], base[:45]]
+    pivot = sets[3]
+    d = [np.setxor1d(pivot, s).view(np.int64) for s in sets]
+    size = np.array([len(s) for s in sets])
+    found = {(int(x), int(y)) for i, j in nearcopies.near_in_blocks(size[:50], d[:50], size, d) for x, y in zip(i, j)}
+    assert found == {(i, j) for i in range(50) for j in range(len(sets)) if nearcopies.similar(sets[i], sets[j])}
+
+
 def test_odd_and_empty(spark, make_docs, odd_rows):
     docs = spark.read.parquet(make_docs(odd_rows, ("set", "bands", "_text", "key", "root")) + "/documents.parquet")
     kept = nearcopies.keep_one(docs)

@@ -194,7 +194,7 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Join the sets of each pair; the smaller index becomes the root."""
     while len(i):
         i, j = parent[i], parent[j]
@@ -238,7 +238,7 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
         both = a if alone else np.concatenate([a, b])
         parent = np.arange(len(both))
         for i, j in trie_pairs(a, None if alone else b, budget):
-            parent = _unite(parent, i, j if alone else j + len(a))
+            parent = unite(parent, i, j if alone else j + len(a))
         linked = np.nonzero(parent != np.arange(len(both)))[0]
         return pa.table({"a": both[linked].view(np.int64), "b": both[parent[linked]].view(np.int64)})
 
