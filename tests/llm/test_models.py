@@ -77,41 +77,51 @@ def test_neighbours_of_none(spark, tmp_path):
 class SlowKatz:
     """The model's definition over plain counters."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order=katz.ORDER):
         seqs = [self.tokens(t) for t in texts]
+        self.order = order
         self.c = Counter(w for s in seqs for w in s)
-        self.pair = Counter(p for s in seqs for p in zip(["<s>", *s], s))
-        self.h = Counter({"<s>": len(seqs)}) + Counter({w: n for w, n in self.c.items() if w})
         self.n, self.v = sum(self.c.values()), len(self.c)
         self.one = katz.Unigrams.of(dict(Counter(self.c.values())))
-        self.d = katz.discounts(dict(Counter(self.pair.values())))
-        self.next = defaultdict(dict)
-        for (h, w), n in self.pair.items():
-            self.next[h][w] = n
+        self.d, self.next, self.h = {}, {}, {}
+        for k in range(2, order + 1):
+            grams = Counter((h, w) for s in seqs for h, w in self.events(s, k))
+            self.d[k] = katz.discounts(dict(Counter(grams.values())))
+            self.next[k], self.h[k] = defaultdict(dict), Counter()
+            for (h, w), n in grams.items():
+                self.next[k][h][w] = n
+                self.h[k][h] += n
 
     @staticmethod
     def tokens(text):
         low = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or "")
         return [*words(low), ""]
 
+    @staticmethod
+    def events(s, k):
+        padded = ["<s>"] * (k - 1) + s
+        return [(tuple(padded[j : j + k - 1]), w) for j, w in enumerate(s)]
+
     def p1(self, w):
         c = self.c.get(w, 0)
         return self.one.d[min(c, katz.FIRST + 1)] * c / self.n if c else self.one.left
 
     def p(self, w, h):
-        after = self.next.get(h)
-        if not after:
+        """Recursive in the length of the history."""
+        if not h:
             return self.p1(w)
-        total = self.h[h]
-        sealed = min(after.values()) > katz.FIRST
-        star = {x: (1.0 if n > katz.FIRST else self.d[n]) * n / (total + sealed) for x, n in after.items()}
+        k = len(h) + 1
+        after = self.next[k].get(h)
+        if not after:
+            return self.p(w, h[1:])
+        total = self.h[k][h] + (min(after.values()) > katz.FIRST)
+        star = {x: (1.0 if n > katz.FIRST else self.d[k][n]) * n / total for x, n in after.items()}
         if w in star:
             return star[w]
-        return (1 - math.fsum(star.values())) / (1 - math.fsum(map(self.p1, after))) * self.p1(w)
+        return (1 - math.fsum(star.values())) / (1 - math.fsum(self.p(x, h[1:]) for x in after)) * self.p(w, h[1:])
 
     def score(self, text):
-        s = self.tokens(text)
-        return math.fsum(math.log10(self.p(w, h)) for h, w in zip(["<s>", *s], s))
+        return math.fsum(math.log10(self.p(w, h)) for h, w in self.events(self.tokens(text), self.order))
 
 
 def held(i):
@@ -131,7 +141,7 @@ def corpus(odd_rows):
 def test_katz_brute(spark, make_docs, corpus, monkeypatch, small):
     if small:  # many blocks, partitions and dealt histories
         monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
-        monkeypatch.setattr(katz, "PAIR_PART", 20_000)
+        monkeypatch.setattr(katz, "GRAM_PART", 20_000)
         monkeypatch.setattr(katz, "WORD_PART", 20_000)
     got = rows_of(spark, "op8_katz", make_docs(corpus, ("score", "data", "part")))
     model = SlowKatz([r[1] for r in corpus if not held(r[0])])
@@ -151,9 +161,32 @@ def test_katz_brute(spark, make_docs, corpus, monkeypatch, small):
         assert r["base_score"] == pytest.approx(sum(math.log10((model.c[w] + 1) / (model.n + model.v + 1)) for w in t), rel=1e-9)
 
 
-def test_katz_sums_to_one(corpus):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_orders_and_stored_tables(spark, make_docs, corpus, monkeypatch, order):
+    """Any order agrees with brute force, and tables that are read again score held-out texts as the corpus run did."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(katz, "GRAM_PART", 20_000)
+    rows = [r for r in corpus if r[0] is not None and r[0] != 5]
+    docs = spark.read.parquet(make_docs(rows) + "/documents.parquet")
+    out = F.col("doc_id") % 5 == 1
+    got, tables = katz.fit_score(docs, out, order=order)
+    model = SlowKatz([r[1] for r in rows if r[0] % 5 != 1], order)
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    for r in rows:
+        assert score[r[0]] == pytest.approx(model.score(r[1]), abs=2e-4), r[0]
+    again = {r["doc_id"]: r["score"] for r in katz.score_with(tables, docs.where(out)).collect()}
+    assert again.keys() == {r[0] for r in rows if r[0] % 5 == 1}
+    assert all(score[k] == pytest.approx(v, abs=1e-9) for k, v in again.items())
+    other = spark.createDataFrame([(1, "common passage never seen before"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: round(r["score"], 4) for r in katz.score_with(tables, other).collect()} == {k: round(model.score(t), 4) for k, t in ((1, "common passage never seen before"), (2, None))}
+
+
+@pytest.mark.parametrize("length", [1, 2])
+def test_katz_sums_to_one(corpus, length):
     model = SlowKatz([r[1] for r in corpus if not held(r[0])])
-    for h in [*list(model.next)[:40], "common", "passage", "never seen"]:
+    for h in [*list(model.next[length + 1])[:40], ("common", "passage")[:length], ("never", "seen")[:length]]:
         assert math.fsum(model.p(w, h) for w in [*model.c, "never seen"]) == pytest.approx(1, abs=1e-9)
 
 

@@ -1,23 +1,29 @@
-"""Language-model scoring with a Katz bigram model counted over the whole corpus.
+"""Language-model scoring with a Katz model of ORDER words, counted over the whole corpus.
 
-P(w | h) = d(c(hw)) c(hw) / c(h) if hw was seen, else alpha(h) P(w); P(w) in turn is
-d(c(w)) c(w) / N, and what that leaves goes to one unknown word. d are Good-Turing
-discounts in Katz's form for counts up to FIRST, 1 above; where they are not between 0
-and 1, absolute discounting takes their place. alpha(h) makes each row sum to one
-exactly, as sums over the seen successors of h are complete.
+P(w | h) = d(c(hw)) c(hw) / c(h) if hw was seen, else alpha(h) P(w | h'), where h' is h
+without its first word, and so on down to P(w) = d(c(w)) c(w) / N; what that leaves goes
+to one unknown word. If h itself was never seen, P(w | h) = P(w | h'). d are the
+Good-Turing discounts of each length in Katz's form for counts up to FIRST, 1 above;
+where they are not between 0 and 1, absolute discounting takes their place. alpha(h)
+makes each row sum to one exactly, as sums over the seen successors of h are complete.
+A text begins after a start symbol, which is all the history that its first word has.
 
 The corpus is cut into blocks of about BLOCK_TOKENS tokens, and everything travels in
-packed, compressed arrays by (block, partition) instead of a row for each token:
-
-1. each block sends its distinct words, by hash range, to the word table; a partition
-   adds up counts, ranks its words by count (ids of common words are small) and
-   answers with ids and counts in the order asked;
-2. each block sends its distinct bigrams, by history, to the bigram table, with the
-   documents they occur in; a history with a large share of all tokens is dealt over
-   all partitions by its successors;
-3. a partition adds up counts and returns, for each block, what its documents' seen
-   bigrams sum to, and the unseen ones with the sums that their history's alpha needs;
-4. each block's answers are put together, now that the discounts are known.
+packed, compressed arrays by (block, partition) instead of a row for each token. Length
+by length, beginning with single words:
+
+1. each block sends its distinct n-grams, with how often they occur in training, to
+   the n-gram table by a hash of their history (words: by their own hash); a history
+   with a large share of all tokens is dealt over all partitions by its successors;
+2. a partition adds up counts, writes its part of the table, and answers each block in
+   the order asked: counts, and the sums that a history's alpha needs wherever a
+   successor is unseen. Words get ids, small ones for common words;
+3. the next length's blocks are made from the block's tokens and all answers so far, so
+   that the probabilities of shorter n-grams are known wherever a longer one is counted.
+
+At last each token's probability is worked out by the recursion above. Tables stay in
+the shared folder: ``score_with`` scores other texts by them, with the same steps, a
+table's rows taking the place of training blocks.
 
 Words are identified by 64-bit hashes (XXH64); two of a billion distinct words share
 one with a probability of 3 in 100. Tables and answers grow with the corpus and none
@@ -31,9 +37,8 @@ formula; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,10 +52,10 @@ from pyspark.sql import functions as F
 from weft.llm.texts import LOWER, map_batches, utf8
 from weft.staging import discard, release, stage
 
+ORDER = 3
 FIRST = 5  # counts that are discounted
-BLOCK_TOKENS = 2_200_000
-WORD_PART, PAIR_PART = 16 << 20, 10 << 20  # bytes of text for each partition of the tables
-MOST_PARTS = 1 << 20
+BLOCK_TOKENS = 1_500_000
+WORD_PART, GRAM_PART = 16 << 20, 10 << 20  # bytes of text for each partition of the tables
 HOT = 4  # a history with over 1 / (HOT * partitions) of all tokens is dealt over all partitions
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,9 +135,18 @@ class Unigrams:
         return np.log10((count.astype(np.float64) + 1) / (self.tokens + self.types + 1))
 
 
+#: Kinds of rows: a block's documents, and by length: answers, counts of counts, sums of dealt histories, table rows, and what is asked.
+STATE, ANSWER, TIMES, DEALT, TABLE, ASKED = 0, 100, 200, 300, 400, 500
+_ROWS = [("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())]
+_SQL_ROWS = "kind int, part long, block long, data binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_ROWS)})
+
+
 def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -> DataFrame:
-    """Rows of kind 0 (a block's documents as sequences of local word numbers) and 1 (its words for a partition)."""
-    end = b""
+    """Rows of a block's documents, as sequences of local word numbers, and of its words for a partition."""
 
     def flush(block: int, ids: list, flags: list, lengths: list, seq: list, known: dict) -> Iterator[pa.RecordBatch]:
         keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
@@ -142,13 +156,13 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
         counts = np.bincount(tokens[train], minlength=len(names))
         null = np.array([x is None for x in ids])
         own = np.array([x or 0 for x in ids], np.int64).view(np.uint64)
-        rows = [(0, -1, block, pack(own, null, np.array(flags), np.array(lengths), tokens))]
+        rows = [(STATE, -1, block, pack(own, null, np.array(flags), np.array(lengths), tokens))]
         cuts = np.searchsorted(names, np.array([((k << 64) // parts) for k in range(1, parts)], np.uint64)) if parts > 1 else []
         for p, (n, c) in enumerate(zip(np.split(names, cuts), np.split(counts, cuts), strict=True)):
             if len(n):
-                rows.append((1, p, block, pack(np.diff(n, prepend=np.uint64(0)), c)))
+                rows.append((ASKED + 1, p, block, pack(np.diff(n, prepend=np.uint64(0)), c)))
         for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "part", "block", "data"])
+            yield _rows([row]).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -158,7 +172,7 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
             for t, i, h in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids, flags, lengths, seq, known = state
                 words = (t or b"").translate(LOWER).split()
-                words.append(end)
+                words.append(b"")  # the end
                 seq.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
                 ids.append(i)
                 flags.append(h)
@@ -174,247 +188,319 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
     return map_batches(rows, run, _SQL_ROWS)
 
 
-def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(schema)})
-
-
-_ROWS = [("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())]
-_SQL_ROWS = "kind int, part long, block long, data binary"
-
-
-def _words(parts: int):
-    """Step 1: kind 2 answers a block; kind 3 has how many words have each count."""
+def _words(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """The word table's partition: counts and ids, and answers to the blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        asked = [unpack(d.as_py()) for d in table["data"]]
-        keys = [np.cumsum(k, dtype=np.uint64) for k, _ in asked]
+        part, kinds = table["part"][0].as_py(), table["kind"].to_pylist()
+        sent = [unpack(d.as_py()) for d in table["data"]]
+        keys = [np.cumsum(s[0], dtype=np.uint64) for s in sent]
         names, local = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.zeros(len(names), np.int64)
-        np.add.at(count, local, np.concatenate([c for _, c in asked]).astype(np.int64))
+        np.add.at(count, local, np.concatenate([s[1] for s in sent]).astype(np.int64))
         number = np.empty(len(names), np.int64)
-        number[np.argsort(-count, kind="stable")] = np.arange(len(names)) * parts + part
+        # Ids by rank, which a table that is read again gives as before: unseen words come last.
+        number[np.lexsort((names, -count))] = np.arange(len(names)) * parts + part
         rows, at = [], 0
-        for block, k in zip(table["block"].to_pylist(), keys, strict=True):
+        for kind, block, k in zip(kinds, table["block"].to_pylist(), keys, strict=True):
             own = local[at : at + len(k)]
             at += len(k)
-            rows.append((2, part, block, pack(number[own], count[own])))
-        value, times = np.unique(count[count > 0], return_counts=True)
-        rows.append((3, part, -1, pack(value, times)))
-        return _table(rows, _ROWS)
+            if kind == ASKED + 1:
+                rows.append((ANSWER + 1, part, block, pack(number[own], count[own])))
+        seen = count > 0
+        rows.append((TIMES + 1, part, -1, pack(*np.unique(count[seen], return_counts=True))))
+        rows.append((TABLE + 1, part, -1, pack(np.diff(names[seen], prepend=np.uint64(0)), count[seen])))
+        return _rows(rows)
 
     return run
 
 
-def _pairs(one: Unigrams, parts: int):
-    """Step 2: kind 4 is a block's documents with their unigram sums; kind 5 its bigrams for a partition."""
+@dataclass
+class Level:
+    """What is known of n-grams of one length once they are counted."""
+
+    d: list[float]
+    dealt: dict[tuple[int, ...], tuple[list[int], float]]  # history: sums over its seen successors, and their mass one word shorter
+
+    @classmethod
+    def of(cls, counted: DataFrame, n: int) -> Level:
+        """From a staged table of the length; counts of counts, and HOT histories for each partition at most."""
+        dealt: dict[tuple[int, ...], tuple[list[int], float]] = {}
+        for r in counted.where(F.col("kind") == DEALT + n).select("data").collect():
+            got = unpack(bytes(r["data"]))
+            for k, name in enumerate(zip(*(c.tolist() for c in got[: n - 1]), strict=True)):
+                sums, mass = [int(x[k]) for x in got[n - 1 : -1]], float(got[-1].view(np.float64)[k])
+                old = dealt.get(name, ([0] * len(sums), 0.0))
+                dealt[name] = [a + b for a, b in zip(old[0], sums, strict=True)], old[1] + mass
+        return cls(discounts(_times(counted, n)), dealt)
+
+    def discounted(self, c: np.ndarray) -> np.ndarray:
+        """d(c) c."""
+        return np.array([*self.d, 1.0])[np.minimum(c, FIRST + 1)] * c
+
+
+def _times(counted: DataFrame, n: int) -> dict[int, int]:
+    """How many n-grams have each count; a partition has at most sqrt(2 N) different ones."""
+    out: dict[int, int] = {}
+    for r in counted.where(F.col("kind") == TIMES + n).select("data").collect():
+        value, times = unpack(bytes(r["data"]))
+        for v, t in zip(value.tolist(), times.tolist(), strict=True):
+            out[v] = out.get(v, 0) + t
+    return out
+
+
+def _sealed(sums: list[np.ndarray]) -> np.ndarray:
+    """True for histories without a rare successor: nothing is discounted there, so they give way by one count."""
+    return sum(sums[:FIRST]) == 0
+
+
+def _log_alpha(d: list[float], total: np.ndarray, sums: list[np.ndarray], mass: np.ndarray) -> np.ndarray:
+    kept = sum(r * d[r] * sums[r - 1] for r in range(1, FIRST + 1)) + sums[FIRST]
+    left = np.where(_sealed(sums), 1 / (total + 1.0), 1 - kept / np.maximum(total, 1))
+    return np.log10(left) - np.log10(1 - mass)
+
+
+def _differs(columns: list[np.ndarray]) -> np.ndarray:
+    """True for the first row and each that is not equal to the one before."""
+    return np.concatenate([[True], np.any([np.diff(c) != 0 for c in columns], axis=0)])
+
+
+class _Block:
+    """A block's tokens, and what is known of the n-grams that end at each of them, length by length.
+
+    ``id`` is each token's n-gram: 0 the start alone, then distinct ones in order, last those whose history is unseen.
+    """
 
-    def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        block = mine["block"][0].as_py()
-        own, null, held, length, token = unpack(mine["data"][0].as_py())
-        order = np.argsort(answers["part"].to_numpy())
-        got = [unpack(answers["data"][int(k)].as_py()) for k in order]
-        number = np.concatenate([g[0] for g in got]).astype(np.int64)
-        count = np.concatenate([g[1] for g in got]).astype(np.int64)
-        # Local numbers by id, and one more for the start, which is seen once for each training document.
-        rank = np.argsort(number, kind="stable")
+    def __init__(self, data: bytes, words: list[bytes], one: Unigrams):
+        self.own, self.null, held, length, token = unpack(data)
+        got = [unpack(d) for d in words]
+        number, count = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (0, 1))
+        rank = np.argsort(number)
         place = np.empty(len(number), np.int64)
         place[rank] = np.arange(1, len(number) + 1)
-        name = np.concatenate([[0], number[rank] + 1])
-        length = length.astype(np.int64)
-        docs = len(length)
-        doc = np.repeat(np.arange(docs, dtype=np.int32), length)
-        last = np.cumsum(length) - 1
-        w = place.astype(np.int32)[token]
-        h = np.roll(w, 1)
-        h[last - length + 1] = 0
+        self.held, self.length = held > 0, length.astype(np.int64)
+        ends = np.cumsum(self.length)
+        self.doc = np.repeat(np.arange(len(ends), dtype=np.int32), self.length)
+        self.first = ends - self.length
+        self.train = ~self.held[self.doc]
         # The start is followed as often as an end is met in training.
-        count = np.concatenate([[count[int(token[last[0]])]], count[rank]])
-        del token
-        known = np.bincount(doc, (count > 0)[w], docs)
-        base = np.bincount(doc, one.base(count)[w], docs)
-        lost = (count == 0)[h]  # nothing is known of the history
-        score = np.bincount(doc[lost], one.log10(count)[w[lost]], docs)
-        rows = [(4, -1 - block, block, pack(own, null, held, length, known.astype(np.int64), _floats(base), _floats(score)))]
-        hot = count > one.tokens / (HOT * parts)
-        mixed = ((name.astype(np.uint64) * _MIX) >> np.uint64(32)).astype(np.int64) % parts
-        h, w, doc = h[~lost], w[~lost], doc[~lost]
-        n = len(name)
-        key = mixed[h]  # (partition, history, word) as one number, made in place
-        key += np.where(hot[h], mixed[w], 0)
-        key %= parts
-        key *= n
-        key += h
-        key *= n
-        key += w
-        del h, w, lost
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], (doc * 2 + held.astype(np.int32)[doc])[order]
-        del order
-        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
-        many = np.diff(np.append(first, len(key)))
-        key = key[first]
-        part, h, w = key // n // n, key // n % n, key % n
-        cuts = np.nonzero(np.diff(part))[0] + 1
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-            if s == e:
+        self.count = np.concatenate([[count[int(token[ends[0] - 1])]], count[rank]])
+        self.name = np.concatenate([[0], number[rank] + 1])
+        self.word = place[token.astype(np.int64)]
+        self.id, self.times, self.columns = self.word, self.count, [self.name]
+        self.lower = [self.count[self.word]]  # what tells P(w | h) for the mass of the next length
+        self.log = one.log10(self.count)[self.word]
+
+    def distinct(self, n: int, parts: int, tokens: int) -> None:
+        """Distinct n-grams whose history is known, in the order in which they are asked for."""
+        history = np.roll(self.id, 1)
+        history[self.first] = 0
+        self.at = np.nonzero(self.times[history] > 0)[0]
+        key, self.gram = np.unique(history[self.at] * len(self.name) + self.word[self.at], return_inverse=True)
+        h, w = key // len(self.name), key % len(self.name)
+        self.total = self.times[h]
+        self.columns = [*(c[h] for c in self.columns), self.name[w]]
+        mixed = np.zeros(len(h), np.uint64)
+        for c in self.columns[:-1]:
+            mixed = (mixed + c.astype(np.uint64) + np.uint64(1)) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+        self.hot = self.total > tokens / (HOT * parts)
+        mixed = np.where(self.hot, (mixed + self.columns[-1].astype(np.uint64)) * _MIX, mixed * _MIX)
+        part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.part = part[self.order]
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        """What goes to each partition: columns, count of the history, what tells the shorter probability, own count, hot."""
+        local = np.bincount(self.gram, self.train[self.at], len(self.total)).astype(np.int64)
+        some = np.empty(len(self.total), np.int64)
+        some[self.gram] = self.at  # any token that ends the n-gram
+        told = [*self.columns, self.total, *(x[some] for x in self.lower), local, self.hot]
+        cuts = np.nonzero(np.diff(self.part))[0] + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.order)], strict=True):
+            if e > s:
+                first, *others = (x[self.order[s:e]] for x in told)
+                yield int(self.part[s]), pack(np.diff(first, prepend=0), *others)
+
+    def learn(self, n: int, answers: list[bytes], level: Level) -> None:
+        """Counts and log probabilities of n-grams, by the recursion: own where seen, else the shorter one's times alpha."""
+        size = len(self.total)
+        c, sealed, alpha = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size)
+        got = [unpack(d) for d in answers]
+        if got:
+            c[self.order] = np.concatenate([g[0] for g in got]).astype(np.int64)
+            sealed[self.order] = np.concatenate([g[1] for g in got]) > 0
+        hot = np.nonzero(self.hot)[0]  # successors of a dealt history stand together
+        if len(hot):
+            opens = _differs([k[hot] for k in self.columns[:-1]])
+            shut = {name: not any(sums[:FIRST]) for name, (sums, _) in level.dealt.items()}
+            heads = zip(*(k[hot[opens]].tolist() for k in self.columns[:-1]), strict=True)
+            sealed[hot] = np.array([shut.get(x, False) for x in heads])[np.cumsum(opens) - 1]
+        start = 0
+        for g in got:
+            miss = self.order[start : start + len(g[0])][g[0] == 0]
+            start += len(g[0])
+            if not len(miss):
                 continue
-            hs, ws = h[s:e], w[s:e]
-            at = first[s]
-            occ = doc[at : at + int(many[s:e].sum())]
-            rows.append((5, int(part[s]), block, pack(np.diff(name[hs], prepend=0), name[ws], count[hs], count[ws], hot[hs], many[s:e], occ, np.array([docs]))))
-        return _table(rows, _ROWS)
+            use, sums, mass = g[2].astype(np.int64), [x.astype(np.float64) for x in g[3:-1]], g[-1].view(np.float64).copy()
+            lead = np.empty(len(mass), np.int64)
+            lead[use] = miss
+            for k in np.nonzero(self.hot[lead])[0].tolist():
+                whole, mass[k] = level.dealt[tuple(int(x[lead[k]]) for x in self.columns[:-1])]
+                for x, v in zip(sums, whole, strict=True):
+                    x[k] = v
+            alpha[miss] = _log_alpha(level.d, self.total[lead].astype(np.float64), sums, mass)[use]
+        total = self.total + sealed
+        own = np.log10(np.maximum(level.discounted(c), 1e-300) / total)
+        self.log[self.at] = np.where(c[self.gram] > 0, own[self.gram], self.log[self.at] + alpha[self.gram])
+        self.id = np.full(len(self.word), size + 1)
+        self.id[self.at] = self.gram + 1
+        self.times = np.concatenate([[self.count[0]], c, [0]])
+        self.columns = [np.concatenate([[0], k, [0]]) for k in self.columns]
+        self.lower = [self.times[self.id], np.concatenate([[1], total, [1]])[self.id]]
+
+
+def _opened(state: pa.Table, answers: pa.Table, one: Unigrams, levels: list[Level], parts: int) -> _Block:
+    """A block with all that is answered so far."""
+    kinds, part = answers["kind"].to_numpy(), answers["part"].to_numpy()
+    of = lambda n: [answers["data"][int(k)].as_py() for k in np.lexsort((part, kinds)) if kinds[k] == ANSWER + n]
+    block = _Block(state["data"][0].as_py(), of(1), one)
+    for n, level in enumerate(levels, 2):
+        block.distinct(n, parts, one.tokens)
+        block.learn(n, of(n), level)
+    return block
+
+
+def _asks(one: Unigrams, levels: list[Level], parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The n-grams of a block that are one word longer than the ``levels`` known."""
+    n = len(levels) + 2
+
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _opened(state, answers, one, levels, parts)
+        block.distinct(n, parts, one.tokens)
+        return _rows([(ASKED + n, p, state["block"][0].as_py(), data) for p, data in block.asked()])
 
     return run
 
 
-def _answers(one: Unigrams):
-    """Step 3: kind 6 answers a block; kind 7 has how many bigrams have each count; kind 8 sums of dealt histories."""
+def _table(n: int, one: Unigrams, levels: list[Level]) -> Callable[[pa.Table], pa.Table]:
+    """A partition of the table of n-grams: counts, and answers to the blocks."""
+
+    def shorter(lower: list[np.ndarray]) -> np.ndarray:
+        return one.p(lower[0]) if n == 2 else levels[-1].discounted(lower[0]) / np.maximum(lower[1], 1)
 
     def run(table: pa.Table) -> pa.Table:
-        if table["kind"][0].as_py() == 4:
-            return table.select([n for n, _ in _ROWS])
-        part = table["part"][0].as_py()
+        part, kinds = table["part"][0].as_py(), table["kind"].to_pylist()
         sent = [unpack(d.as_py()) for d in table["data"]]
-        h = np.concatenate([np.cumsum(s[0]) for s in sent]).astype(np.int64)
-        w, ch, cw = (np.concatenate([s[k] for s in sent]).astype(np.int64) for k in (1, 2, 3))
-        hot = np.concatenate([s[4] for s in sent]) > 0
-        many = np.concatenate([s[5] for s in sent]).astype(np.int64)
-        held = np.concatenate([s[6] for s in sent]).astype(np.int64) & 1
-        begin = np.cumsum(many) - many
-        trained = np.add.reduceat(1 - held, begin)
-        order = np.lexsort((w, h))
-        new = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)])
-        group = np.empty(len(h), np.int64)
+        columns = [np.concatenate([np.cumsum(s[0]) for s in sent])] + [np.concatenate([s[k] for s in sent]) for k in range(1, n)]
+        columns = [c.astype(np.int64) for c in columns]
+        total, *lower, local, hot = (np.concatenate([s[k] for s in sent]).astype(np.int64) for k in range(n, len(sent[0])))
+        order = np.lexsort(columns[::-1])
+        new = _differs([c[order] for c in columns])
+        group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        c = np.bincount(group, trained).astype(np.int64)
+        c = np.bincount(group, local).astype(np.int64)
         lead = order[new]
         # Sums over the seen successors of each history.
-        of = np.cumsum(np.concatenate([[True], np.diff(h[lead]) != 0])) - 1
+        opens = _differs([k[lead] for k in columns[:-1]])
+        of = np.cumsum(opens) - 1
         hs = int(of[-1]) + 1
         seen = c > 0
         sums = [np.bincount(of, c == r, hs) for r in range(1, FIRST + 1)]
         sums.append(np.bincount(of, np.where(c > FIRST, c, 0), hs))
-        mass = np.bincount(of, np.where(seen, one.p(cw[lead]), 0.0), hs)
-        name, total = np.zeros(hs, np.int64), np.zeros(hs, np.int64)
-        name[of], total[of] = h[lead], ch[lead]
-        dealt = np.zeros(hs, bool)
-        dealt[of] = hot[lead]
-        shut = _sealed(sums)
-        rows = []
+        mass = np.bincount(of, np.where(seen, shorter([x[lead] for x in lower]), 0.0), hs)
+        head = lead[opens]
+        dealt = hot[head] > 0
+        shut = _sealed(sums) & ~dealt
+        rows = [(TIMES + n, part, -1, pack(*np.unique(c[seen], return_counts=True)))]
         if dealt.any():
-            rows.append((8, part, -1, pack(name[dealt], total[dealt], *(s[dealt].astype(np.int64) for s in sums), _floats(mass[dealt]))))
-        value, times = np.unique(c[seen], return_counts=True)
-        rows.append((7, part, -1, pack(value, times)))
+            rows.append((DEALT + n, part, -1, pack(*(k[head[dealt]] for k in columns[:-1]), *(s[dealt].astype(np.int64) for s in sums), _floats(mass[dealt]))))
+        if seen.any():
+            first, *others = (x[lead[seen]] for x in (*columns, total, *lower))
+            rows.append((TABLE + n, part, -1, pack(np.diff(first, prepend=0), *others, c[seen], hot[lead[seen]])))
         at = 0
-        for block, s in zip(table["block"].to_pylist(), sent, strict=True):
-            size, docs = len(s[1]), int(s[7][0])
-            g, n, doc = group[at : at + size], s[5].astype(np.int64), (s[6] >> np.uint64(1)).astype(np.int64)
-            c1, ch1, cw1, of1 = np.repeat(c[g], n), np.repeat(ch[at : at + size], n), np.repeat(cw[at : at + size], n), np.repeat(of[g], n)
-            at += size
-            hit = c1 > 0
-            plain = np.bincount(doc[hit], np.log10(c1[hit] / (ch1[hit] + (shut & ~dealt)[of1[hit]])), docs)
-            # A dealt history may have rare successors in another partition: step 4 knows.
-            ask = hit & (shut & dealt)[of1]
-            rare = [np.bincount(doc[c1 == r], minlength=docs) for r in range(1, FIRST + 1)]
-            miss = ~hit
-            plain += np.bincount(doc[miss], one.log10(cw1[miss]), docs)
-            used, use = np.unique(of1[miss], return_inverse=True)
-            rows.append(
-                (6, part, block, pack(_floats(plain), *rare, doc[ask], name[of1[ask]], doc[miss], use, name[used], dealt[used], total[used], *(x[used].astype(np.int64) for x in sums), _floats(mass[used])))
-            )
-        return _table(rows, _ROWS)
+        for kind, block, s in zip(kinds, table["block"].to_pylist(), sent, strict=True):
+            g = group[at : at + len(s[1])]
+            at += len(g)
+            if kind == ASKED + n:
+                used, use = np.unique(of[g[~seen[g]]], return_inverse=True)
+                rows.append((ANSWER + n, part, block, pack(c[g], shut[of[g]], use, *(x[used].astype(np.int64) for x in sums), _floats(mass[used]))))
+        return _rows(rows)
 
     return run
 
 
-def _sealed(sums: list[np.ndarray]) -> np.ndarray:
-    """True for histories without a rare successor: nothing is discounted there, so they give way by one count."""
-    return sum(sums[:FIRST]) == 0
-
-
-def _log_alpha(d: list[float], total: np.ndarray, sums: list[np.ndarray], mass: np.ndarray) -> np.ndarray:
-    kept = sum(r * d[r] * sums[r - 1] for r in range(1, FIRST + 1)) + sums[FIRST]
-    left = np.where(_sealed(sums), 1 / (total + 1.0), 1 - kept / np.maximum(total, 1))
-    return np.log10(left) - np.log10(1 - mass)
-
-
-def _scores(d: list[float], dealt: dict[int, tuple], tokens: int):
-    """Step 4: a row for each document of a block."""
-    shut = {n: math.log10(total / (total + 1)) for n, (sums, _, total) in dealt.items() if not any(sums[:FIRST])}
+def _scores(one: Unigrams, levels: list[Level], parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A row for each document of a block."""
 
-    def run(table: pa.Table) -> pa.Table:
-        kinds = table["kind"].to_pylist()
-        own, null, held, length, known, base, score = unpack(table["data"][kinds.index(4)].as_py())
-        score = score.view(np.float64).copy()
-        for kind, data in zip(kinds, table["data"], strict=True):
-            if kind != 6:
-                continue
-            got = unpack(data.as_py())
-            score += got[0].view(np.float64)
-            for r in range(1, FIRST + 1):
-                score += got[r].astype(np.float64) * math.log10(d[r])
-            for k, n in zip(got[FIRST + 1].tolist(), got[FIRST + 2].tolist(), strict=True):
-                score[k] += shut.get(n, 0.0)
-            doc, use, name, hot, total = got[FIRST + 3 : FIRST + 8]
-            sums = [x.astype(np.float64) for x in got[FIRST + 8 : 2 * FIRST + 9]]
-            total, mass = total.astype(np.float64), got[-1].view(np.float64).copy()
-            for k in np.nonzero(hot)[0].tolist():
-                whole, mass[k], _ = dealt[int(name[k])]
-                for x, v in zip(sums, whole, strict=True):
-                    x[k] = v
-            if len(name):
-                score += np.bincount(doc.astype(np.int64), _log_alpha(d, total, sums, mass)[use.astype(np.int64)], len(score))
-        ids = own.view(np.int64)
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _opened(state, answers, one, levels, parts)
+        n = len(b.length)
+        per = lambda x: np.bincount(b.doc, x, n)
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64(), mask=null > 0), "held_out": pa.array(held > 0), "n_tokens": pa.array(length.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-                "train_tokens": pa.array([tokens] * len(ids), pa.int64()), "base_score": pa.array(base.view(np.float64)), "score": pa.array(score),
+                "doc_id": pa.array(b.own.view(np.int64), pa.int64(), mask=b.null > 0), "held_out": pa.array(b.held), "n_tokens": pa.array(b.length), "n_known": pa.array(per((b.count > 0)[b.word]).astype(np.int64)),
+                "train_tokens": pa.array([one.tokens] * n, pa.int64()), "base_score": pa.array(per(one.base(b.count)[b.word])), "score": pa.array(per(b.log)),
             }
         )
 
     return run
 
 
-def _added(rows: list) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for r in rows:
-        value, times = unpack(bytes(r["data"]))
-        for v, t in zip(value.tolist(), times.tolist(), strict=True):
-            out[v] = out.get(v, 0) + t
-    return out
+@dataclass
+class KatzModel:
+    """The stored tables, by length, and the numbers of their partitions."""
 
+    tables: list[DataFrame]
+    word_parts: int
+    parts: int
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    The model is counted from the rows for which ``held_out`` does not hold.
-    """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    word_parts, pair_parts = (min(MOST_PARTS, max(12, size // b)) for b in (WORD_PART, PAIR_PART))
+def _scored(docs: DataFrame, held_out: Column, text: str, doc_id: str, order: int, word_parts: int, parts: int, stored: KatzModel | None) -> tuple[DataFrame, KatzModel]:
+    def asked(rows: DataFrame, n: int) -> DataFrame:
+        return rows if stored is None else rows.unionByName(stored.tables[n - 1].where(F.col("kind") == TABLE + n))
+
     blocks = stage(_blocks(docs, text, doc_id, held_out, word_parts), "blocks", ["kind"])
-    words = stage(blocks.where("kind = 1").groupBy("part").applyInArrow(_words(word_parts), _SQL_ROWS), "words")
-    discard(blocks, "kind=1")
+    first = asked(blocks.where(F.col("kind") == ASKED + 1), 1)
+    tables = [stage(first.groupBy("part").applyInArrow(_words(word_parts), _SQL_ROWS), "words", ["kind"])]
+    discard(blocks, f"kind={ASKED + 1}")
     release(docs.sparkSession)
-    # At most sqrt(2 N) different counts, by partition.
-    one = Unigrams.of(_added(words.where("kind = 3").select("data").collect()))
-    pairs = (
-        blocks.where("kind = 0").select("block", "data").groupBy("block")
-        .cogroup(words.where("kind = 2").select("block", "part", "data").groupBy("block"))
-        .applyInArrow(_pairs(one, pair_parts), _SQL_ROWS)
-    )
-    answers = stage(pairs.groupBy("part").applyInArrow(_answers(one), _SQL_ROWS), "answers")
-    del pairs
-    discard(blocks)
-    discard(words)
-    release(docs.sparkSession)
-    d = discounts(_added(answers.where("kind = 7").select("data").collect()))
-    dealt: dict[int, tuple] = {}
-    for r in answers.where("kind = 8").select("data").collect():  # HOT * pair_parts histories at most
-        got = unpack(bytes(r["data"]))
-        for k, name in enumerate(got[0].tolist()):
-            sums, mass = [int(x[k]) for x in got[2:-1]], float(got[-1].view(np.float64)[k])
-            old = dealt.get(name, ([0] * len(sums), 0.0, 0))
-            dealt[name] = ([a + b for a, b in zip(old[0], sums, strict=True)], old[1] + mass, int(got[1][k]))
+    one, levels = Unigrams.of(_times(tables[0], 1)), []
+    state = blocks.where(F.col("kind") == STATE)
+
+    def known() -> DataFrame:
+        rows = [t.where(F.col("kind") == ANSWER + n) for n, t in enumerate(tables, 1)]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        return out
+
+    for n in range(2, order + 1):
+        asks = state.groupBy("block").cogroup(known().groupBy("block")).applyInArrow(_asks(one, levels, parts), _SQL_ROWS)
+        tables.append(stage(asked(asks, n).groupBy("part").applyInArrow(_table(n, one, levels), _SQL_ROWS), f"grams{n}", ["kind"]))
+        del asks
+        release(docs.sparkSession)
+        levels = [*levels, Level.of(tables[-1], n)]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.where("kind in (4, 6)").groupBy("block").applyInArrow(_scores(d, dealt, one.tokens), schema)
+    out = state.groupBy("block").cogroup(known().groupBy("block")).applyInArrow(_scores(one, levels, parts), schema)
+    return out, KatzModel(tables, word_parts, parts)
+
+
+def fit_score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> tuple[DataFrame, KatzModel]:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, and the tables.
+
+    The model is counted from the rows for which ``held_out`` does not hold.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    word_parts, parts = (max(12, size // b) for b in (WORD_PART, GRAM_PART))
+    return _scored(docs, held_out, text, doc_id, order, word_parts, parts, None)
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """The rows of ``fit_score``."""
+    return fit_score(docs, held_out, text, doc_id, order)[0]
+
+
+def score_with(model: KatzModel, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The same columns for other texts, by stored tables; all rows are held out."""
+    return _scored(docs, F.lit(True), text, doc_id, len(model.tables), model.word_parts, model.parts, model)[0]
