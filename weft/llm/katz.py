@@ -43,13 +43,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import LOWER, map_batches, utf8
+from weft.llm.texts import map_batches
 from weft.staging import discard, release, stage
 
 ORDER = 3
@@ -145,6 +146,22 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_ROWS)})
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The tokens of all texts as numbers of names, the names (the last one, empty, is the end), and the tokens of each text."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = words.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)  # blanks at either end leave empty ones
+    doc = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    length = np.bincount(doc[there.to_numpy(zero_copy_only=False)], minlength=len(words)) + 1
+    coded = flat.filter(there).dictionary_encode()
+    names = [x.encode() if isinstance(x, str) else x for x in coded.dictionary.to_pylist()]
+    token = np.full(int(length.sum()), len(names), np.int64)
+    inner = np.ones(len(token), bool)
+    inner[np.cumsum(length) - 1] = False
+    token[inner] = coded.indices.to_numpy()
+    return token, [*names, b""], length
+
+
 def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -> DataFrame:
     """Rows of a block's documents, as sequences of local word numbers, and of its words for a partition."""
 
@@ -152,11 +169,14 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
         keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
         names, local = np.unique(keys, return_inverse=True)
         tokens = local[np.concatenate(seq)]
-        train = np.repeat(~np.array(flags, bool), lengths)
-        counts = np.bincount(tokens[train], minlength=len(names))
+        lengths, flags = np.concatenate(lengths), np.concatenate(flags)
+        counts = np.bincount(tokens[np.repeat(~flags, lengths)], minlength=len(names))
+        common = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # small numbers for common words
+        number = np.empty(len(names), np.int64)
+        number[common] = np.arange(len(names))
         null = np.array([x is None for x in ids])
         own = np.array([x or 0 for x in ids], np.int64).view(np.uint64)
-        rows = [(STATE, -1, block, pack(own, null, np.array(flags), np.array(lengths), tokens))]
+        rows = [(STATE, -1, block, pack(own, null, flags, lengths, number[tokens], common))]
         cuts = np.searchsorted(names, np.array([((k << 64) // parts) for k in range(1, parts)], np.uint64)) if parts > 1 else []
         for p, (n, c) in enumerate(zip(np.split(names, cuts), np.split(counts, cuts), strict=True)):
             if len(n):
@@ -166,19 +186,24 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        fresh = lambda: ([], [], [], [], {})
+        fresh = lambda: ([], [], [], [], {b"": 0})
         state, size = fresh(), 0
         for batch in batches:
-            for t, i, h in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, flags, lengths, seq, known = state
-                words = (t or b"").translate(LOWER).split()
-                words.append(b"")  # the end
-                seq.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
-                ids.append(i)
-                flags.append(h)
-                lengths.append(len(words))
-                size += len(words)
-                if size >= BLOCK_TOKENS:
+            token, names, length = _split(batch.column(0))
+            ids, held = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(length)])
+            start = 0
+            while start < len(length):  # whole documents, as many as the block still takes
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK_TOKENS - size, "right")) - 1)
+                some = token[ends[start] : ends[end]]
+                used, local = np.unique(some, return_inverse=True)
+                known = state[4]
+                mine = np.array([known.setdefault(names[k], len(known)) for k in used.tolist()], np.int32)
+                for have, new in zip(state, (ids[start:end], held[start:end], length[start:end], mine[local]), strict=False):
+                    have.extend(new) if have is state[0] else have.append(new)
+                size += len(some)
+                start = end
+                if size >= BLOCK_TOKENS or start < len(length):
                     yield from flush(block, *state)
                     state, size, block = fresh(), 0, block + 1
         if size:
@@ -265,6 +290,32 @@ def _differs(columns: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[True], np.any([np.diff(c) != 0 for c in columns], axis=0)])
 
 
+def _told(columns: list[np.ndarray], lower: list[np.ndarray], count: np.ndarray, hot: np.ndarray) -> bytes:
+    """N-grams, ascending by their first column, with what tells the probability of one word less, and counts.
+
+    That is the last word's count for two words, else the shorter n-gram's count and that of its history. What
+    depends on fewer columns (the word; the history's later words) is written once for each of their values.
+    """
+    shared = slice(1, 2) if len(columns) == 2 else slice(1, len(columns) - 1)
+    keys = columns[shared]
+    order = np.lexsort(keys[::-1])
+    new = _differs([k[order] for k in keys])
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    first = order[new]
+    return pack(np.diff(columns[0], prepend=0), index, *columns[shared.stop :], *lower[:-1], count, hot, *(k[first] for k in keys), lower[-1][first])
+
+
+def _heard(n: int, data: bytes) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns, lower, count and hot, as told."""
+    got = [x.astype(np.int64) for x in unpack(data)]
+    keys = max(1, n - 2)
+    index, shared, last = got[1], got[-keys - 1 : -1], got[-1]
+    others = got[2 : len(got) - keys - 3]
+    columns, lower = others[: n - 1 - keys], others[n - 1 - keys :]
+    return [np.cumsum(got[0]), *(k[index] for k in shared), *columns], [*lower, last[index]], got[-keys - 3], got[-keys - 2] > 0
+
+
 class _Block:
     """A block's tokens, and what is known of the n-grams that end at each of them, length by length.
 
@@ -272,21 +323,23 @@ class _Block:
     """
 
     def __init__(self, data: bytes, words: list[bytes], one: Unigrams):
-        self.own, self.null, held, length, token = unpack(data)
+        self.own, self.null, held, length, token, common = unpack(data)
         got = [unpack(d) for d in words]
         number, count = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (0, 1))
         rank = np.argsort(number)
         place = np.empty(len(number), np.int64)
         place[rank] = np.arange(1, len(number) + 1)
+        place = place[common.astype(np.int64)]
         self.held, self.length = held > 0, length.astype(np.int64)
         ends = np.cumsum(self.length)
         self.doc = np.repeat(np.arange(len(ends), dtype=np.int32), self.length)
         self.first = ends - self.length
         self.train = ~self.held[self.doc]
         # The start is followed as often as an end is met in training.
-        self.count = np.concatenate([[count[int(token[ends[0] - 1])]], count[rank]])
-        self.name = np.concatenate([[0], number[rank] + 1])
         self.word = place[token.astype(np.int64)]
+        self.count = np.concatenate([[0], count[rank]])
+        self.count[0] = self.count[self.word[ends[0] - 1]]
+        self.name = np.concatenate([[0], number[rank] + 1])
         self.id, self.times, self.columns = self.word, self.count, [self.name]
         self.lower = [self.count[self.word]]  # what tells P(w | h) for the mass of the next length
         self.log = one.log10(self.count)[self.word]
@@ -311,16 +364,16 @@ class _Block:
         self.part = part[self.order]
 
     def asked(self) -> Iterator[tuple[int, bytes]]:
-        """What goes to each partition: columns, count of the history, what tells the shorter probability, own count, hot."""
+        """What goes to each partition."""
         local = np.bincount(self.gram, self.train[self.at], len(self.total)).astype(np.int64)
         some = np.empty(len(self.total), np.int64)
         some[self.gram] = self.at  # any token that ends the n-gram
-        told = [*self.columns, self.total, *(x[some] for x in self.lower), local, self.hot]
+        lower = [x[some] for x in self.lower]
         cuts = np.nonzero(np.diff(self.part))[0] + 1
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.order)], strict=True):
             if e > s:
-                first, *others = (x[self.order[s:e]] for x in told)
-                yield int(self.part[s]), pack(np.diff(first, prepend=0), *others)
+                of = self.order[s:e]
+                yield int(self.part[s]), _told([c[of] for c in self.columns], [x[of] for x in lower], local[of], self.hot[of])
 
     def learn(self, n: int, answers: list[bytes], level: Level) -> None:
         """Counts and log probabilities of n-grams, by the recursion: own where seen, else the shorter one's times alpha."""
@@ -391,10 +444,12 @@ def _table(n: int, one: Unigrams, levels: list[Level]) -> Callable[[pa.Table], p
 
     def run(table: pa.Table) -> pa.Table:
         part, kinds = table["part"][0].as_py(), table["kind"].to_pylist()
-        sent = [unpack(d.as_py()) for d in table["data"]]
-        columns = [np.concatenate([np.cumsum(s[0]) for s in sent])] + [np.concatenate([s[k] for s in sent]) for k in range(1, n)]
-        columns = [c.astype(np.int64) for c in columns]
-        total, *lower, local, hot = (np.concatenate([s[k] for s in sent]).astype(np.int64) for k in range(n, len(sent[0])))
+        sent = [_heard(n, d.as_py()) for d in table["data"]]
+        size = [len(s[2]) for s in sent]
+        columns = [np.concatenate([s[0][k] for s in sent]) for k in range(n)]
+        lower = [np.concatenate([s[1][k] for s in sent]) for k in range(len(sent[0][1]))]
+        local, hot = (np.concatenate([s[k] for s in sent]) for k in (2, 3))
+        del sent
         order = np.lexsort(columns[::-1])
         new = _differs([c[order] for c in columns])
         group = np.empty(len(order), np.int64)
@@ -410,18 +465,18 @@ def _table(n: int, one: Unigrams, levels: list[Level]) -> Callable[[pa.Table], p
         sums.append(np.bincount(of, np.where(c > FIRST, c, 0), hs))
         mass = np.bincount(of, np.where(seen, shorter([x[lead] for x in lower]), 0.0), hs)
         head = lead[opens]
-        dealt = hot[head] > 0
+        dealt = hot[head]
         shut = _sealed(sums) & ~dealt
         rows = [(TIMES + n, part, -1, pack(*np.unique(c[seen], return_counts=True)))]
         if dealt.any():
             rows.append((DEALT + n, part, -1, pack(*(k[head[dealt]] for k in columns[:-1]), *(s[dealt].astype(np.int64) for s in sums), _floats(mass[dealt]))))
         if seen.any():
-            first, *others = (x[lead[seen]] for x in (*columns, total, *lower))
-            rows.append((TABLE + n, part, -1, pack(np.diff(first, prepend=0), *others, c[seen], hot[lead[seen]])))
+            of_seen = lead[seen]
+            rows.append((TABLE + n, part, -1, _told([k[of_seen] for k in columns], [x[of_seen] for x in lower], c[seen], hot[of_seen])))
         at = 0
-        for kind, block, s in zip(kinds, table["block"].to_pylist(), sent, strict=True):
-            g = group[at : at + len(s[1])]
-            at += len(g)
+        for kind, block, m in zip(kinds, table["block"].to_pylist(), size, strict=True):
+            g = group[at : at + m]
+            at += m
             if kind == ASKED + n:
                 used, use = np.unique(of[g[~seen[g]]], return_inverse=True)
                 rows.append((ANSWER + n, part, block, pack(c[g], shut[of[g]], use, *(x[used].astype(np.int64) for x in sums), _floats(mass[used]))))
@@ -456,7 +511,7 @@ class KatzModel:
     parts: int
 
 
-def _scored(docs: DataFrame, held_out: Column, text: str, doc_id: str, order: int, word_parts: int, parts: int, stored: KatzModel | None) -> tuple[DataFrame, KatzModel]:
+def _scored(docs: DataFrame, held_out: Column, text: str, doc_id: str, order: int, word_parts: int, parts: int, stored: KatzModel | None, keep: bool) -> tuple[DataFrame, KatzModel]:
     def asked(rows: DataFrame, n: int) -> DataFrame:
         return rows if stored is None else rows.unionByName(stored.tables[n - 1].where(F.col("kind") == TABLE + n))
 
@@ -464,8 +519,8 @@ def _scored(docs: DataFrame, held_out: Column, text: str, doc_id: str, order: in
     first = asked(blocks.where(F.col("kind") == ASKED + 1), 1)
     tables = [stage(first.groupBy("part").applyInArrow(_words(word_parts), _SQL_ROWS), "words", ["kind"])]
     discard(blocks, f"kind={ASKED + 1}")
-    release(docs.sparkSession)
     one, levels = Unigrams.of(_times(tables[0], 1)), []
+    release(docs.sparkSession)
     state = blocks.where(F.col("kind") == STATE)
 
     def known() -> DataFrame:
@@ -479,28 +534,31 @@ def _scored(docs: DataFrame, held_out: Column, text: str, doc_id: str, order: in
         asks = state.groupBy("block").cogroup(known().groupBy("block")).applyInArrow(_asks(one, levels, parts), _SQL_ROWS)
         tables.append(stage(asked(asks, n).groupBy("part").applyInArrow(_table(n, one, levels), _SQL_ROWS), f"grams{n}", ["kind"]))
         del asks
-        release(docs.sparkSession)
         levels = [*levels, Level.of(tables[-1], n)]
+        if not keep and n < order:
+            discard(tables[-1], f"kind={TABLE + n}")
+        release(docs.sparkSession)  # Spark holds on to the last query until another has run
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = state.groupBy("block").cogroup(known().groupBy("block")).applyInArrow(_scores(one, levels, parts), schema)
     return out, KatzModel(tables, word_parts, parts)
 
 
-def fit_score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> tuple[DataFrame, KatzModel]:
+def fit_score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, keep: bool = True) -> tuple[DataFrame, KatzModel]:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, and the tables.
 
-    The model is counted from the rows for which ``held_out`` does not hold.
+    The model is counted from the rows for which ``held_out`` does not hold. Without ``keep``, tables of n-grams shorter
+    than ``order`` go once they have been used: the longest n-grams' counts add up to theirs.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     word_parts, parts = (max(12, size // b) for b in (WORD_PART, GRAM_PART))
-    return _scored(docs, held_out, text, doc_id, order, word_parts, parts, None)
+    return _scored(docs, held_out, text, doc_id, order, word_parts, parts, None, keep)
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
-    """The rows of ``fit_score``."""
-    return fit_score(docs, held_out, text, doc_id, order)[0]
+    """The rows of ``fit_score``; of the tables, those of words and of the longest n-grams stay."""
+    return fit_score(docs, held_out, text, doc_id, order, keep=False)[0]
 
 
 def score_with(model: KatzModel, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The same columns for other texts, by stored tables; all rows are held out."""
-    return _scored(docs, F.lit(True), text, doc_id, len(model.tables), model.word_parts, model.parts, model)[0]
+    return _scored(docs, F.lit(True), text, doc_id, len(model.tables), model.word_parts, model.parts, model, keep=False)[0]
