@@ -13,8 +13,9 @@ packed, compressed arrays by (block, partition) instead of a row for each token.
 by length, beginning with single words:
 
 1. each block sends its distinct n-grams, with how often they occur in training, to
-   the n-gram table by a hash of their history (words: by their own hash); a history
-   with a large share of all tokens is dealt over all partitions by its successors;
+   the n-gram table by a hash of the word before the last (words: by their own hash);
+   where that word has a large share of all tokens, by the whole history, and a history
+   with such a share is dealt over all partitions by its successors;
 2. a partition adds up counts, writes its part of the table, and answers each block in
    the order asked: counts, and the sums that a history's alpha needs wherever a
    successor is unseen. Words get ids, small ones for common words;
@@ -291,35 +292,38 @@ def _differs(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _told(columns: list[np.ndarray], lower: list[np.ndarray], count: np.ndarray, hot: np.ndarray) -> bytes:
-    """N-grams, ascending by their first column, with what tells the probability of one word less, and counts.
+    """Sorted n-grams (history backwards, then the word), what tells the probability of one word less, and counts.
 
-    That is the last word's count for two words, else the shorter n-gram's count and that of its history. What
-    depends on fewer columns (the word; the history's later words) is written once for each of their values.
+    That is the word's count for two words, written once for each word; else the shorter n-gram's count, and that of its
+    history, written once for each run of n-grams that share it. So no more is written however many partitions there are.
     """
-    shared = slice(1, 2) if len(columns) == 2 else slice(1, len(columns) - 1)
-    keys = columns[shared]
-    order = np.lexsort(keys[::-1])
-    new = _differs([k[order] for k in keys])
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    first = order[new]
-    return pack(np.diff(columns[0], prepend=0), index, *columns[shared.stop :], *lower[:-1], count, hot, *(k[first] for k in keys), lower[-1][first])
+    if len(columns) == 2:
+        names, first, index = np.unique(columns[1], return_index=True, return_inverse=True)
+        return pack(np.diff(columns[0], prepend=0), index, count, hot, np.diff(names, prepend=0), lower[0][first])
+    first = np.nonzero(_differs(columns[:-2]))[0]
+    far = np.diff(columns[-2], prepend=0)  # ascending within a run
+    far[first] = columns[-2][first]
+    lead, *others = (c[first] for c in columns[:-2])
+    return pack(far, columns[-1], lower[0], count, hot, np.diff(np.append(first, len(far))), np.diff(lead, prepend=0), *others, lower[1][first])
 
 
 def _heard(n: int, data: bytes) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Columns, lower, count and hot, as told."""
     got = [x.astype(np.int64) for x in unpack(data)]
-    keys = max(1, n - 2)
-    index, shared, last = got[1], got[-keys - 1 : -1], got[-1]
-    others = got[2 : len(got) - keys - 3]
-    columns, lower = others[: n - 1 - keys], others[n - 1 - keys :]
-    return [np.cumsum(got[0]), *(k[index] for k in shared), *columns], [*lower, last[index]], got[-keys - 3], got[-keys - 2] > 0
+    if n == 2:
+        near, index, count, hot, names, last = got
+        return [np.cumsum(near), np.cumsum(names)[index]], [last[index]], count, hot > 0
+    far, word, short, count, hot, size, lead, *others, last = got
+    first = np.cumsum(size) - size
+    total = np.cumsum(far)
+    return [*(np.repeat(c, size) for c in (np.cumsum(lead), *others)), total - np.repeat(total[first] - far[first], size), word], [short, np.repeat(last, size)], count, hot > 0
 
 
 class _Block:
     """A block's tokens, and what is known of the n-grams that end at each of them, length by length.
 
     ``id`` is each token's n-gram: 0 the start alone, then distinct ones in order, last those whose history is unseen.
+    ``columns`` are the names of their words, the history's backwards, then the last.
     """
 
     def __init__(self, data: bytes, words: list[bytes], one: Unigrams):
@@ -341,6 +345,7 @@ class _Block:
         self.count[0] = self.count[self.word[ends[0] - 1]]
         self.name = np.concatenate([[0], number[rank] + 1])
         self.id, self.times, self.columns = self.word, self.count, [self.name]
+        self.last = np.arange(len(self.name))  # the last word of each n-gram
         self.lower = [self.count[self.word]]  # what tells P(w | h) for the mass of the next length
         self.log = one.log10(self.count)[self.word]
 
@@ -349,16 +354,21 @@ class _Block:
         history = np.roll(self.id, 1)
         history[self.first] = 0
         self.at = np.nonzero(self.times[history] > 0)[0]
-        key, self.gram = np.unique(history[self.at] * len(self.name) + self.word[self.at], return_inverse=True)
-        h, w = key // len(self.name), key % len(self.name)
-        self.total = self.times[h]
-        self.columns = [*(c[h] for c in self.columns), self.name[w]]
-        mixed = np.zeros(len(h), np.uint64)
-        for c in self.columns[:-1]:
-            mixed = (mixed + c.astype(np.uint64) + np.uint64(1)) * _MIX
-            mixed ^= mixed >> np.uint64(29)
-        self.hot = self.total > tokens / (HOT * parts)
-        mixed = np.where(self.hot, (mixed + self.columns[-1].astype(np.uint64)) * _MIX, mixed * _MIX)
+        # Histories by their last word first, then those before it.
+        rank = np.lexsort((*self.columns[:-1][::-1], self.columns[-1])) if n > 2 else np.arange(len(self.name))
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        key, self.gram = np.unique(place[history[self.at]] * len(self.name) + self.word[self.at], return_inverse=True)
+        h, w = rank[key // len(self.name)], key % len(self.name)
+        self.total, often = self.times[h], self.count[self.last[h]]
+        self.columns = [self.columns[-1][h], *(c[h] for c in self.columns[:-1]), self.name[w]]
+        self.last = w
+        # By the history's last word; its other words and the word itself count only where they must.
+        most = tokens / (HOT * parts)
+        self.hot = self.total > most
+        mixed = self.columns[0].astype(np.uint64) * _MIX
+        for c, some in [(c, often > most) for c in self.columns[1:-1]] + [(self.columns[-1], self.hot)]:
+            mixed = np.where(some, ((mixed ^ (mixed >> np.uint64(29))) + c.astype(np.uint64)) * _MIX, mixed)
         part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         self.order = np.argsort(part, kind="stable")
         self.part = part[self.order]
@@ -410,6 +420,7 @@ class _Block:
         self.id[self.at] = self.gram + 1
         self.times = np.concatenate([[self.count[0]], c, [0]])
         self.columns = [np.concatenate([[0], k, [0]]) for k in self.columns]
+        self.last = np.concatenate([[0], self.last, [0]])
         self.lower = [self.times[self.id], np.concatenate([[1], total, [1]])[self.id]]
 
 
