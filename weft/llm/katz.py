@@ -147,30 +147,30 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_ROWS)})
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The tokens of all texts as numbers of names, the names (the last one, empty, is the end), and the tokens of each text."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, lower-cased, and how many each text has."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = words.flatten()
     there = pc.greater(pc.binary_length(flat), 0)  # blanks at either end leave empty ones
     doc = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    length = np.bincount(doc[there.to_numpy(zero_copy_only=False)], minlength=len(words)) + 1
-    coded = flat.filter(there).dictionary_encode()
-    names = [x.encode() if isinstance(x, str) else x for x in coded.dictionary.to_pylist()]
-    token = np.full(int(length.sum()), len(names), np.int64)
-    inner = np.ones(len(token), bool)
-    inner[np.cumsum(length) - 1] = False
-    token[inner] = coded.indices.to_numpy()
-    return token, [*names, b""], length
+    length = np.bincount(doc[there.to_numpy(zero_copy_only=False)], minlength=len(words))
+    return flat.filter(there).cast(pa.large_binary()), length
 
 
 def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -> DataFrame:
     """Rows of a block's documents, as sequences of local word numbers, and of its words for a partition."""
 
-    def flush(block: int, ids: list, flags: list, lengths: list, seq: list, known: dict) -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+    def flush(block: int, ids: list, flags: list, lengths: list, seq: list) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays(seq).dictionary_encode()
+        known = [b"", *coded.dictionary.to_pylist()]  # first the end
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
         names, local = np.unique(keys, return_inverse=True)
-        tokens = local[np.concatenate(seq)]
-        lengths, flags = np.concatenate(lengths), np.concatenate(flags)
+        lengths = np.concatenate(lengths) + 1
+        tokens = np.full(int(lengths.sum()), local[0], np.int64)
+        inner = np.ones(len(tokens), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        tokens[inner] = local[coded.indices.to_numpy() + 1]
+        flags = np.concatenate(flags)
         counts = np.bincount(tokens[np.repeat(~flags, lengths)], minlength=len(names))
         common = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # small numbers for common words
         number = np.empty(len(names), np.int64)
@@ -187,22 +187,20 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, held: Column, parts: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        fresh = lambda: ([], [], [], [], {b"": 0})
+        fresh = lambda: ([], [], [], [])
         state, size = fresh(), 0
         for batch in batches:
-            token, names, length = _split(batch.column(0))
+            words, length = _split(batch.column(0))
             ids, held = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             ends = np.concatenate([[0], np.cumsum(length)])
+            tokens = ends + np.arange(len(ends))
             start = 0
             while start < len(length):  # whole documents, as many as the block still takes
-                end = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK_TOKENS - size, "right")) - 1)
-                some = token[ends[start] : ends[end]]
-                used, local = np.unique(some, return_inverse=True)
-                known = state[4]
-                mine = np.array([known.setdefault(names[k], len(known)) for k in used.tolist()], np.int32)
-                for have, new in zip(state, (ids[start:end], held[start:end], length[start:end], mine[local]), strict=False):
-                    have.extend(new) if have is state[0] else have.append(new)
-                size += len(some)
+                end = max(start + 1, int(np.searchsorted(tokens, tokens[start] + BLOCK_TOKENS - size, "right")) - 1)
+                state[0].extend(ids[start:end])
+                for have, new in zip(state[1:], (held[start:end], length[start:end], words[ends[start] : ends[end]]), strict=True):
+                    have.append(new)
+                size += int(tokens[end] - tokens[start])
                 start = end
                 if size >= BLOCK_TOKENS or start < len(length):
                     yield from flush(block, *state)
@@ -345,7 +343,7 @@ class _Block:
         self.count[0] = self.count[self.word[ends[0] - 1]]
         self.name = np.concatenate([[0], number[rank] + 1])
         self.id, self.times, self.columns = self.word, self.count, [self.name]
-        self.last = np.arange(len(self.name))  # the last word of each n-gram
+        self.last, self.back = np.arange(len(self.name)), np.zeros(len(self.name), np.int64)  # each n-gram's last word, and its history's place among all
         self.lower = [self.count[self.word]]  # what tells P(w | h) for the mass of the next length
         self.log = one.log10(self.count)[self.word]
 
@@ -355,11 +353,12 @@ class _Block:
         history[self.first] = 0
         self.at = np.nonzero(self.times[history] > 0)[0]
         # Histories by their last word first, then those before it.
-        rank = np.lexsort((*self.columns[:-1][::-1], self.columns[-1])) if n > 2 else np.arange(len(self.name))
+        rank = np.argsort(self.last * (int(self.back.max()) + 1) + self.back)
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
         key, self.gram = np.unique(place[history[self.at]] * len(self.name) + self.word[self.at], return_inverse=True)
-        h, w = rank[key // len(self.name)], key % len(self.name)
+        self.back, w = np.divmod(key, len(self.name))
+        h = rank[self.back]
         self.total, often = self.times[h], self.count[self.last[h]]
         self.columns = [self.columns[-1][h], *(c[h] for c in self.columns[:-1]), self.name[w]]
         self.last = w
@@ -420,7 +419,7 @@ class _Block:
         self.id[self.at] = self.gram + 1
         self.times = np.concatenate([[self.count[0]], c, [0]])
         self.columns = [np.concatenate([[0], k, [0]]) for k in self.columns]
-        self.last = np.concatenate([[0], self.last, [0]])
+        self.last, self.back = (np.concatenate([[0], k, [0]]) for k in (self.last, self.back))
         self.lower = [self.times[self.id], np.concatenate([[1], total, [1]])[self.id]]
 
 
