@@ -125,12 +125,17 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang",
     The sample is the least hashes of each label's distinct texts: each task keeps its own least, so no label is sorted as a whole.
     """
     rows = docs.where(learn & F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_lot"))
-    lots = rows.select("_label", "_lot").distinct()
-    labels = lots.select("_label").distinct().count()
+    lots = stage(rows.select("_label", "_lot").distinct(), "lots")
+    sizes = lots.groupBy("_label").agg(F.count("*").alias("_size"))  # one row for each language
+    labels = sizes.count()
     if not labels:
         return LanguageModel()
-    place = F.row_number().over(W.partitionBy("_label").orderBy("_lot"))
-    drawn = stage(lots.withColumn("_n", place).where(F.col("_n") <= max(2, train_rows // labels)).drop("_n"), "drawn")
+    each = max(2, train_rows // labels)
+    # Twice as many as asked for, by a threshold, so that only few of a label are sorted.
+    place = F.shiftrightunsigned("_lot", 1)
+    few = lots.join(F.broadcast(sizes), "_label").where(place <= F.least(F.lit(1.0), 2.0 * each / F.col("_size")) * float(1 << 63))
+    order = F.row_number().over(W.partitionBy("_label").orderBy(place, "_lot"))
+    drawn = stage(few.select("_label", "_lot").withColumn("_n", order).where(F.col("_n") <= each).drop("_n"), "drawn")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -143,7 +148,8 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang",
 
     some = rows.join(F.broadcast(drawn), ["_label", "_lot"]).select("_label", "_text", "_lot")  # train_rows at most, or two for each label
     got = map_batches(some, features, "label string, lot long, x binary").groupBy("label", "lot").agg(F.max("x").alias("x")).collect()
-    discard(drawn)
+    for t in (lots, drawn):
+        discard(t)
     got.sort(key=lambda r: (r["label"], r["lot"]))
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in got]).astype(np.float32)
     return LanguageModel.fit(x, [r["label"] for r in got])
