@@ -589,24 +589,34 @@ def rename_forward(spark, d):
 
 _PY = ["src/pkg/__init__.py", "src/pkg/core.py", "src/pkg/sub/__init__.py", "src/pkg/sub/deep.py", "src/pkg/ns/x.py", "tools/run.py", "tools/helper.py", "tests/test_core.py", "other/pkg2/__init__.py", "other/pkg2/core.py", "other/pkg2/only.py", "lone/__init__.py", "setup.py"]
 _ASKED = ["pkg", "pkg.core", "pkg.core.Name", "core", "deep", "sub.deep", "pkg.ns.x", "x", "helper", "run.main", "only", "pkg2.only.f", "lone", "nothing", "pkg.nothing.at.all", "setup"]
-# Names and suffixes by the rules, as literals: the SQL side checks resolution.
+# Names as literals: the SQL side of module_resolve checks resolution, that of module_names the names.
 _MODULES = [("src/pkg/__init__.py", "pkg"), ("src/pkg/core.py", "pkg.core"), ("src/pkg/sub/__init__.py", "pkg.sub"), ("src/pkg/sub/deep.py", "pkg.sub.deep"), ("src/pkg/ns/x.py", "pkg.ns.x"), ("tools/run.py", "run"), ("tools/helper.py", "helper"), ("tests/test_core.py", "test_core"), ("other/pkg2/__init__.py", "pkg2"), ("other/pkg2/core.py", "pkg2.core"), ("other/pkg2/only.py", "pkg2.only"), ("lone/__init__.py", "lone"), ("setup.py", "setup")]
 
 
-@query(f"SELECT path, module FROM {sql_values(_MODULES, 'path, module')}")
+_PARTS = "string_split(path, '/')"
+
+
+@query(
+    f"WITH p AS (SELECT n_name || '/' || v.path AS path FROM nation, {sql_values([(x,) for x in _PY], 'path')}), init AS (SELECT regexp_replace(path, '/__init__[.]py$', '') AS u FROM p WHERE regexp_matches(path, '/__init__[.]py$')), "
+    f"d AS (SELECT path, i, array_to_string({_PARTS}[1:i], '/') AS dir FROM p, range(1, 12) r(i) WHERE i < len({_PARTS})), k AS (SELECT path, min(i) AS top FROM d JOIN init ON dir = u OR starts_with(dir, u || '/') GROUP BY path) "
+    f"SELECT p.path, array_to_string(list_concat(CASE WHEN top IS NULL THEN [] ELSE string_split(p.path, '/')[top:len(string_split(p.path, '/')) - 1] END, "
+    "CASE WHEN ends_with(p.path, '/__init__.py') THEN [] ELSE [regexp_extract(p.path, '([^/]*)[.]py$', 1)] END), '.') AS module FROM p LEFT JOIN k ON k.path = p.path"
+)
 def module_names(spark, d):
-    return modules.module_names(values(spark, [(p,) for p in _PY], "path string"))
+    files = read(spark, d, "nation").select(F.explode(F.transform(F.array(*map(F.lit, _PY)), lambda p: F.concat("n_name", F.lit("/"), p))).alias("path"))
+    return modules.module_names(files)
 
 
 @query(
-    f"WITH m AS (SELECT path, module FROM {sql_values(_MODULES, 'path, module')}), q AS (SELECT n_name || '.' || v.name AS full_name, v.name FROM nation, {sql_values([(x,) for x in _ASKED], 'name')} WHERE n_nationkey = 0 UNION ALL SELECT name, name FROM {sql_values([(x,) for x in _ASKED], 'name')}), "
+    f"WITH m AS (SELECT path, module FROM {sql_values(_MODULES, 'path, module')}), q AS (SELECT n_name || '.' || v.name AS full_name, v.name FROM nation, {sql_values([(x,) for x in _ASKED], 'name')} UNION ALL SELECT name, name FROM {sql_values([(x,) for x in _ASKED], 'name')}), "
     "pf AS (SELECT full_name, n, array_to_string(string_split(full_name, '.')[1:n], '.') AS prefix FROM q, range(1, 12) r(n) WHERE n <= len(string_split(full_name, '.'))), "
     "ix AS (SELECT module AS prefix, min(path) AS target, 1 AS exact FROM m GROUP BY module UNION ALL SELECT sfx, min(path), 0 FROM (SELECT path, array_to_string(string_split(module, '.')[k:], '.') AS sfx FROM m, range(1, 8) r(k) WHERE k <= len(string_split(module, '.'))) GROUP BY sfx HAVING count(DISTINCT path) = 1), "
     "b AS (SELECT full_name, target, row_number() OVER (PARTITION BY full_name ORDER BY n DESC, exact DESC) AS k FROM pf JOIN ix USING (prefix)) SELECT q.full_name AS name, b.target FROM q LEFT JOIN b ON b.full_name = q.full_name AND k = 1"
 )
 def module_resolve(spark, d):
-    nation = read(spark, d, "nation").where("n_nationkey = 0").first()["n_name"]
-    names = values(spark, [(x,) for a in _ASKED for x in (a, f"{nation}.{a}")], "name string").withColumn("importer", F.lit(None).cast("string"))
+    asked = F.array(*map(F.lit, _ASKED))
+    named = read(spark, d, "nation").select(F.explode(F.transform(asked, lambda a: F.concat("n_name", F.lit("."), a))).alias("name"))
+    names = named.union(values(spark, [(a,) for a in _ASKED], "name string")).withColumn("importer", F.lit(None).cast("string"))
     return modules.resolve(names, modules.module_names(values(spark, [(p,) for p in _PY], "path string"))).select("name", "target")
 
 
@@ -630,12 +640,6 @@ def edge_merge(spark, d):
 _REFS = "rf AS (SELECT page_id AS doc, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages)"
 
 
-@query(f"WITH {_REFS} SELECT doc, target, count(*) AS mentions FROM rf GROUP BY doc, target")
-def doc_links(spark, d):
-    p = read(spark, d, "pages").select(F.col("page_id").alias("doc"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("target"))
-    return p.groupBy("doc", "target").agg(F.count("*").alias("mentions"))
-
-
 @query(f"WITH {_REFS} SELECT 'page ' || doc AS a, target AS b, round(CASE WHEN target LIKE 'http%' THEN 1.0 ELSE 0.5 END, 4) AS weight, count(*) AS mentions FROM rf GROUP BY doc, target")
 def docs_layer(spark, d):
     p = read(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("ord", "target"))

@@ -42,7 +42,10 @@ def _succeeds(repo: Path, *args: str) -> bool:
 
 
 def is_git_repo(repo: Path) -> bool:
-    return _succeeds(repo, "rev-parse", "--is-inside-work-tree") and run_git(repo, "rev-parse", "--is-inside-work-tree").strip() == "true"
+    try:
+        return run_git(repo, "rev-parse", "--is-inside-work-tree").strip() == "true"
+    except GitError:
+        return False
 
 
 def has_commits(repo: Path) -> bool:
