@@ -9,7 +9,7 @@ import pytest
 from weft import cli
 from weft.model import FileGraph
 from weft.operators import evaluate, graph
-from weft.plans import build, report, tools, vault
+from weft.plans import build, protocol, report, tools, vault
 from weft.sources import files, git
 
 START, DAY = 1_600_000_000, 86_400
@@ -161,6 +161,9 @@ def test_tools_and_cli(spark, repo, capsys, monkeypatch):
     with pytest.raises(tools.RequestError):
         named["explain_file"]("/etc/passwd")
     assert named["hidden_dependencies"]()[0]["a"] == "settings.toml"
+    assert set(named["rebuild_graph"]()["edges"]) >= {"hierarchy", "structure", "evolution"}
+    with pytest.raises(tools.RequestError, match="language must be one of"):
+        named["export_obsidian"]("somewhere", "de")
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert cli.main(["hidden", "--repo", str(repo.root)]) == 0
     assert "settings.toml" in capsys.readouterr().out
@@ -169,6 +172,46 @@ def test_tools_and_cli(spark, repo, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out)
 
 
+def test_ranker_is_kept_until_rebuilt(spark, repo):
+    store = tools.GraphStore(spark, repo.root)
+    first = store.ranker()
+    assert store.ranker() is first
+    store.get(rebuild=True)
+    assert store.ranker() is not first
+
+
+def test_protocol(spark, repo, tmp_path):
+    known = tools.tools(tools.GraphStore(spark, repo.root))
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "x").write_text("x")
+
+    def ask(method, number=1, **params):
+        return json.dumps({"jsonrpc": "2.0", "id": number, "method": method, "params": params})
+
+    def call(name, **arguments):
+        return ask("tools/call", name, name=name, arguments=arguments)
+
+    lines = [
+        ask("initialize", 0, protocolVersion="2024-11-05"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), "", ask("ping", "p"), ask("tools/list"),
+        call("related_files", paths=["src/pkg/core.py"], limit=2), call("explain_file", path="src/pkg/cor.py"), call("explain_file", path="/etc/passwd"), call("export_obsidian", target_directory=str(tmp_path / "full")),
+        call("project_report"), call("connection_path", source="src/pkg/core.py", target="src/pkg/util.py"), call("nothing"), call("related_files", paths="src"), call("related_files", limit=1), ask("prompts/list"), "{", "[]",
+    ]
+    said = [json.loads(x) for x in protocol.serve(known, lines)]
+    assert len(said) == len(lines) - 2 and all(x["jsonrpc"] == "2.0" for x in said)
+    start, ping, listed, related, wrong, outside, occupied, text, path, *errors = said
+    assert start["result"]["protocolVersion"] == "2024-11-05" and start["result"]["serverInfo"]["name"] == "weft" and ping == {"jsonrpc": "2.0", "id": "p", "result": {}}
+    named = {t["name"]: t for t in listed["result"]["tools"]}
+    assert len(named) == 8 and all(t["description"] for t in named.values())
+    assert named["related_files"]["inputSchema"]["required"] == ["paths"] and named["hidden_dependencies"]["inputSchema"]["properties"]["limit"] == {"type": "integer", "default": 15}
+    assert named["communities"]["annotations"]["readOnlyHint"] and not named["rebuild_graph"]["annotations"]["readOnlyHint"]
+    rows = json.loads(related["result"]["content"][0]["text"])
+    assert len(rows) == 2 and related["result"]["structuredContent"] == {"result": rows}
+    for x, part in ((wrong, "Did you mean: src/pkg/core.py"), (outside, "outside the project"), (occupied, "")):
+        assert x["result"]["isError"] and part in x["result"]["content"][0]["text"]
+    assert "# " in text["result"]["content"][0]["text"] and path["result"]["structuredContent"]["result"]
+    assert [x["error"]["code"] for x in errors] == [protocol.PARAMETERS] * 3 + [protocol.UNKNOWN, protocol.BROKEN, protocol.INVALID]
+
+
 def test_past_revision_and_time_split(spark, repo):
     chain = git.first_parents(spark, repo.root)
     assert chain.count() == 8

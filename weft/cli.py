@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from weft import __version__
 from weft.operators import graph
-from weft.plans import build, report, tools, vault
+from weft.plans import build, protocol, report, tools, vault
 from weft.sources.git import GitError
 
 
@@ -87,15 +87,9 @@ def cmd_vault(a) -> None:
 
 
 def cmd_serve(a) -> None:
-    """One JSON request a line ({"tool": name, "arguments": {...}}), one JSON answer a line."""
-    known = tools.tools(tools.GraphStore(session(), _root(a)))
-    for line in sys.stdin:
-        try:
-            asked = json.loads(line)
-            answer = {"result": known[asked["tool"]](**asked.get("arguments", {}))}
-        except (tools.RequestError, KeyError, TypeError, ValueError) as e:
-            answer = {"error": str(e)}
-        print(json.dumps(answer, ensure_ascii=False, default=str), flush=True)
+    """The tools over the Model Context Protocol, on standard input and output."""
+    for said in protocol.serve(tools.tools(tools.GraphStore(session(), _root(a))), sys.stdin):
+        print(said, flush=True)
 
 
 def parser() -> argparse.ArgumentParser:

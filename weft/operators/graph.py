@@ -232,12 +232,15 @@ def layer_overlap(edges: DataFrame, files: DataFrame, a: str, b: str) -> DataFra
     return by.agg(F.when(every > 0, both / every).otherwise(0.0).alias("jaccard"))
 
 
-def related_files(g: FileGraph, seeds: list[str], k: int = 10, weights: dict[str, float] | None = None, code_only: bool = False, method: str = "auto") -> DataFrame:
-    """(rank, path, score, reasons): files most related to the seeds over all layers; unknown seeds don't count."""
+def related_files(g: FileGraph, seeds: list[str], k: int = 10, weights: dict[str, float] | None = None, code_only: bool = False, method: str = "auto", ranker: walk.Ranker | None = None) -> DataFrame:
+    """(rank, path, score, reasons): files most related to the seeds over all layers; unknown seeds don't count.
+
+    ``ranker`` takes the place of the weights where one is at hand.
+    """
     spark = g.spark
     asked = spark.createDataFrame([(0, s) for s in seeds], "qid int, seed string")
-    steps = walk.transition(g.edges, weights or g.meta.get("weights") or walk.default_weights(g.edges))
-    scores = walk.pagerank(steps, walk.seed_shares(asked, g.nodes), g.nodes, method=method)
+    ranker = ranker or walk.Ranker(g.edges, g.nodes, weights or g.meta.get("weights") or walk.default_weights(g.edges))
+    scores = ranker.scores(asked, method)
     files = g.files().where(F.col("lang").isin(*paths.CODE_LANGUAGES)) if code_only else g.files()
     top = stage(walk.top_k(scores, asked, files, k).select("rank", F.col("node").alias("path"), F.round("score", 4).alias("score")), "top")
     named = spark.createDataFrame([(n, s) for n, s in enumerate(seeds)], "n int, seed string")
