@@ -237,6 +237,9 @@ def test_pieces_fuzz():
     letters = "aabcdeétho  \n\t▁中😀<0x41>s/0123.,\0ñAB'"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     texts += ["thethethe" * 300, "a" * 5000, "ab" * 900, " " * 900, "x" * 399 + "é" * 401, "</s>the<s>", "🤷‍♀️ é"]
+    letters = ("ab", "ot", " e", "ehtr", "etaoinshrdlucmfwypvbgkjqxz", "0123456789abcdef", "=-_*", "tion")
+    texts += ["".join(rng.choice(a) for _ in range(n)) for n in (30, 100, 1000, 5000) for a in letters for _ in range(8)]  # words far beyond a piece's reach
+    texts += ["".join(lib.id_to_piece(rng.randrange(300, 32_000)).replace("▁", "") for _ in range(rng.randint(1, 80))) for _ in range(200)]
     for t in texts:
         ids = lib.encode(t, add_bos=True, add_eos=True)
         assert own.encode(t) == ids, t[:80]
