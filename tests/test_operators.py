@@ -266,7 +266,7 @@ def test_grid_and_metrics(spark):
     truth = table(spark, [(0, "b"), (1, "a"), (1, "c")], "qid int, node string")
     score = table(spark, [(0, "b", 1.0), (1, "a", 1.0), (1, "c", 0.5)], "qid int, node string, score double")
     ids = evaluate.tie_breaks(table(spark, [(x,) for x in "abcd"], "id string"))
-    got = {r["qid"]: (r["rr"], r["r1"], r["r5"]) for r in evaluate.metrics(evaluate.positions(score, q, ids), truth).collect()}
+    got = {r["qid"]: (r["rr"], r["r1"], r["r5"]) for r in evaluate.metrics(evaluate.positions(score, q, ids, truth), truth).collect()}
     assert got == {0: (1.0, 1.0, 1.0), 1: (1.0, 0.5, 1.0)}
 
 
@@ -275,8 +275,43 @@ def test_weight_tuning(spark, ring):
     q = table(spark, [(k, f"n{k:02}") for k in range(5)], "qid int, seed string")
     truth = table(spark, [(k, f"n{k + 1:02}") for k in range(5)], "qid int, node string")
     grid = evaluate.simplex_grid(spark, 1)
-    best, results = evaluate.tune_weights(edges, nodes, q, truth, evaluate.tie_breaks(nodes), grid)
+    truth = truth.union(table(spark, [(0, "n07"), (1, "nobody"), (2, "n02"), (9, "n03")], "qid int, node string"))
+    ties = evaluate.tie_breaks(nodes)
+    best, results = evaluate.tune_weights(edges, nodes, q, truth, ties, grid, method="each")
     assert len(results) == 4 and max(v for _, v in results) == dict((tuple(w.items()), v) for w, v in results)[tuple(best.items())]
+    for metric in ("mrr", "recall_5"):
+        same, once = evaluate.tune_weights(edges, nodes, q, truth, ties, grid, metric, batch=2)
+        assert [w for w, _ in once] == [w for w, _ in results] and (metric != "mrr" or same == best)
+        if metric == "mrr":
+            assert all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(once, results, strict=True))
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_places_among_all_candidates(spark, unique):
+    rng = random.Random(6)
+    ids = [f"n{k:02}" for k in range(40)]
+    tie = {x: rng.choice([0.0, 1e-3, 2e-3, rng.random()]) for x in ids}
+    seeds = {(q, rng.choice([*ids, "far"])) for q in range(12) for _ in range(2)}
+    scores = {(q, x): rng.choice([0.0, 1e-3, 0.5, rng.random(), -0.2]) for q in range(12) for x in [*ids, "off"] if rng.random() < 0.3}
+    truth = {(q, rng.choice([*ids, "gone"])) for q in range(13) for _ in range(5)}
+    want = {}
+    for q, x in truth:
+        total = {y: scores.get((q, y), 0.0) + tie[y] for y in ids if (q, y) not in seeds}
+        if q < 12 and x in total:
+            want[q, x] = 1 + sum(total[y] > total[x] or (unique and total[y] == total[x] and y < x) for y in total)
+    got = evaluate.positions(
+        table(spark, [(*k, v) for k, v in scores.items()], "qid int, node string, score double"), table(spark, list(seeds) * 2, "qid int, seed string"),
+        table(spark, list(tie.items()), "id string, tie double"), table(spark, list(truth), "qid int, node string"), unique,
+    )
+    assert {(r["qid"], r["node"]): r["pos"] for r in got.collect()} == want
+
+
+def test_ties_are_one_stream(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK", 8)
+    ids = [f"n{k:03}" for k in range(50)]
+    got = {r["id"]: r["tie"] for r in evaluate.tie_breaks(table(spark, [(x,) for x in [*ids, *ids[:9]]], "id string").repartition(3), 5).collect()}
+    assert got == dict(zip(ids, (np.random.default_rng(5).random(50) * 1e-12).tolist(), strict=True))
+    assert evaluate.tie_breaks(table(spark, [], "id string")).count() == 0
 
 
 def test_methods_on_sets(spark, tx, ring):
@@ -302,6 +337,9 @@ def test_set_queries_and_interval(spark):
     v = table(spark, [(float(k % 2),) for k in range(100)], "v double")
     lo, hi = evaluate.bootstrap_interval(v, "v").first()
     assert 0.35 < lo < 0.5 < hi < 0.65
+    draws = np.random.default_rng(1).integers(0, 100, (4000, 100))
+    want = np.quantile((draws % 2).mean(axis=1), [0.025, 0.975])
+    assert abs(lo - want[0]) <= 0.02 and abs(hi - want[1]) <= 0.02
 
 
 # --- streaming ------------------------------------------------------------------

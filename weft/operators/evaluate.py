@@ -13,8 +13,11 @@ from pyspark.sql import Window as W
 from weft.model import LAYERS, both_ways
 from weft.operators import rules, walk
 from weft.operators.cochange import MOST_FILES, transactions
+from weft.staging import stage
 
 CUTS = (1, 5, 10)
+#: Places that share one skip of the stream of random numbers.
+BLOCK = 1 << 16
 
 
 def set_queries(changes: DataFrame, scope: DataFrame | None = None, sizes: tuple[int, ...] = (1, 2, 3), most: int = MOST_FILES) -> DataFrame:
@@ -35,27 +38,70 @@ def set_queries(changes: DataFrame, scope: DataFrame | None = None, sizes: tuple
     return t.mapInPandas(draw, "qid string, sha string, m int, seeds array<string>, truth array<string>")
 
 
+def counts_before(rows: DataFrame, by: list, count: str = "c") -> DataFrame:
+    """``rows`` with ``before``: the sum of ``count`` over all rows earlier in the order of ``by``, whose values differ by row.
+
+    Rows are ordered within ranges; only one sum for each range is put in order in a single task.
+    """
+    placed = stage(rows.repartitionByRange(*by).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("range").agg(F.sum(count).alias("s"))
+    sums = sums.select("range", (F.sum("s").over(W.orderBy("range")) - F.col("s")).alias("base"))
+    own = F.sum(count).over(W.partitionBy("range").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)) - F.col(count)
+    return placed.withColumn("own", own).join(F.broadcast(sums), "range").withColumn("before", F.col("base") + F.col("own")).drop("range", "own", "base")
+
+
 def tie_breaks(ids: DataFrame, seed: int = 0) -> DataFrame:
-    """(id, tie): a tiny number for each id, from its place in order; the same for every method that is compared."""
-    rows = [r[0] for r in ids.select("id").distinct().orderBy("id").collect()]  # one number for each node of one project
-    tie = np.random.default_rng(seed).random(len(rows)) * 1e-12
+    """(id, tie): a tiny number for each id, from its place in order; the same for every method that is compared.
+
+    One stream of random numbers serves all ids: each block of places skips to its own part of the stream.
+    """
     kind = ids.schema["id"].dataType.simpleString()
-    return ids.sparkSession.createDataFrame(list(zip(rows, tie.tolist(), strict=True)), f"id {kind}, tie double")
+    placed = counts_before(ids.select("id").distinct().withColumn("c", F.lit(1)), ["id"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = int(group["before"].iloc[0]) // BLOCK * BLOCK
+        draws = np.random.Generator(np.random.PCG64(seed).advance(first)).random(BLOCK)
+        return pd.DataFrame({"id": group["id"], "tie": draws[group["before"].to_numpy(np.int64) - first] * 1e-12})
+
+    return placed.groupBy(F.expr(f"before div {BLOCK}").alias("block")).applyInPandas(run, f"id {kind}, tie double")
 
 
-def positions(scores: DataFrame, queries: DataFrame, candidates: DataFrame, unique: bool = True) -> DataFrame:
-    """(qid, seed columns aside) node and pos of every candidate of every query: score, then tie, then id.
+def positions(scores: DataFrame, queries: DataFrame, candidates: DataFrame, truth: DataFrame, unique: bool = True) -> DataFrame:
+    """(qid, node, pos) of each query's true nodes among all candidates: by score, then tie, then id.
 
-    ``scores`` has qid, node and score (absent: 0), ``queries`` qid and seed, ``candidates`` id and tie. ``unique``
-    gives each node a place of its own; otherwise a place is one more than the number of strictly higher scores.
-    A query's own seeds are no candidates.
+    ``scores`` has qid, node and score (absent: 0), ``queries`` qid and seed, ``candidates`` id and tie, ``truth`` qid
+    and node. ``unique`` gives each node a place of its own; otherwise a place is one more than the number of strictly
+    higher scores. A query's own seeds are no candidates.
+
+    Without scores all queries share one order of candidates, by tie. A place is the place of the node's total in that
+    order, set right by the query's own rows: scored nodes and seeds leave it at their tie, scored nodes enter at their
+    total. So rows are as many as scores, seeds and truth, not queries times candidates.
     """
-    q = queries.select("qid").distinct()
-    # Every candidate is ranked for every query: blocks of queries against all nodes of one project.
-    every = q.join(candidates.select(F.col("id").alias("node"), "tie"), F.lit(True)).join(queries.select("qid", F.col("seed").alias("node")), ["qid", "node"], "left_anti")
-    total = every.join(scores, ["qid", "node"], "left").select("qid", "node", (F.coalesce("score", F.lit(0.0)) + F.col("tie")).alias("total"))
-    by = W.partitionBy("qid").orderBy(F.desc("total"), "node") if unique else W.partitionBy("qid").orderBy(F.desc("total"))
-    return total.withColumn("pos", (F.row_number() if unique else F.rank()).over(by)).select("qid", "node", "pos")
+    cand = candidates.select(F.col("id").alias("node"), "tie")
+    none, no = F.lit(None).cast("double"), F.lit(False)
+    rows = scores.select("qid", "node", F.col("score").cast("double").alias("score"), no.alias("seed"), no.alias("asked"))
+    rows = rows.unionByName(queries.select("qid", F.col("seed").alias("node"), none.alias("score"), F.lit(True).alias("seed"), no.alias("asked")))
+    known = truth.join(queries.select("qid").distinct(), "qid", "left_semi")
+    rows = rows.unionByName(known.select("qid", "node", none.alias("score"), no.alias("seed"), F.lit(True).alias("asked")))
+    # Ties join first, so that one exchange by query serves both the grouping and the order below.
+    rows = rows.join(cand, "node").repartition("qid").groupBy("qid", "node").agg(F.max("score").alias("score"), F.max("seed").alias("seed"), F.max("asked").alias("asked"), F.max("tie").alias("tie"))
+    total = F.coalesce("score", F.lit(0.0)) + F.col("tie")
+    rows = rows.select("qid", "node", "seed", "asked", "tie", total.alias("total"), (total != F.col("tie")).alias("moved"))
+    event = lambda key, c, asked: F.struct(F.col(key).alias("total"), F.lit(c).alias("c"), F.lit(asked).alias("asked"))
+    events = F.array(
+        F.when(F.col("moved") | F.col("seed"), event("tie", -1, False)),
+        F.when(F.col("moved") & ~F.col("seed"), event("total", 1, False)),
+        F.when(F.col("asked") & ~F.col("seed"), event("total", 0, True)),
+    )
+    e = rows.select("qid", "node", F.explode(F.filter(events, lambda x: x.isNotNull())).alias("e")).select("qid", "node", "e.*")
+    key = ["total", "node"] if unique else ["total"]
+    order = [F.desc("total"), F.col("node")] if unique else [F.desc("total")]
+    # Among rows with the same key those that ask come first, so that what lies before them is strictly earlier.
+    earlier = F.sum("c").over(W.partitionBy("qid").orderBy(*order, F.desc("asked")).rowsBetween(W.unboundedPreceding, 0))
+    asked = stage(e.withColumn("own", earlier).where("asked").select("qid", "node", "total", "own"), "asked")
+    shared = cand.select("node", F.col("tie").alias("total"), F.lit(1).alias("c")).unionByName(asked.select("node", "total", F.lit(0).alias("c")))
+    shared = counts_before(shared.groupBy(*key).agg(F.sum("c").alias("c")), order)
+    return asked.join(shared, key).select("qid", "node", (1 + F.col("before") + F.col("own")).alias("pos"))
 
 
 def metrics(places: DataFrame, truth: DataFrame, candidates: int | None = None) -> DataFrame:
@@ -91,7 +137,7 @@ def evaluate_scores(scores: DataFrame | None, queries: DataFrame, truth: DataFra
     """Mean metrics of a method; no scores at all is the random baseline, where only ties decide."""
     if scores is None:
         scores = queries.select("qid", F.col("seed").alias("node"), F.lit(0.0).alias("score"))
-    return summary(metrics(positions(scores, queries, candidates, unique), truth))
+    return summary(metrics(positions(scores, queries, candidates, truth, unique), truth))
 
 
 def simplex_grid(spark, steps: int = 10, layers: tuple[str, ...] = LAYERS) -> DataFrame:
@@ -106,19 +152,74 @@ def simplex_grid(spark, steps: int = 10, layers: tuple[str, ...] = LAYERS) -> Da
     return out.select((n - 1).alias("n"), *((F.col(x) / steps).alias(x) for x in layers))
 
 
-def tune_weights(edges: DataFrame, nodes: DataFrame, queries: DataFrame, truth: DataFrame, candidates: DataFrame, grid: DataFrame, metric: str = "mrr") -> tuple[dict[str, float], list[tuple[dict[str, float], float]]]:
-    """The grid point with the best mean metric, the first of equals, and every point's value."""
-    from weft.staging import stage
+def _tuned_at_once(directed: DataFrame, shares: DataFrame, queries: DataFrame, truth: DataFrame, candidates: DataFrame, points: list[tuple[int, dict[str, float]]], batch: int) -> DataFrame:
+    """(n, qid, rr, r1, r5, r10) of every grid point: tasks take a point and a batch of queries, edges and ties are broadcast."""
+    spark = directed.sparkSession
+    e, c = directed.toPandas(), candidates.select("id", "tie").toPandas()
+    ids = np.array(sorted(set(e["src"]) | set(e["dst"]) | set(c["id"])), dtype=object)
+    place = {x: k for k, x in enumerate(ids)}
+    layer = e["layer"].map({x: k for k, x in enumerate(LAYERS)}).to_numpy(np.int64)
+    src, dst = (e[x].map(place).to_numpy(np.int64) for x in ("src", "dst"))
+    order = np.lexsort((src, dst))
+    degree = np.zeros((len(LAYERS), len(ids)))
+    np.add.at(degree, (layer, src), e["weight"].to_numpy(float))
+    tie = np.full(len(ids), np.nan)
+    tie[c["id"].map(place).to_numpy(np.int64)] = c["tie"]
+    sent = spark.sparkContext.broadcast((place, layer[order], src[order], dst[order], e["weight"].to_numpy(float)[order], degree, tie))
+    weights = {n: np.array([w[x] for x in LAYERS]) for n, w in points}
 
-    points = [{x: r[x] for x in LAYERS} for r in grid.orderBy("n").collect()]
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        at, layer, src, dst, w, degree, tie = sent.value
+        mix = weights[int(group["n"].iloc[0])]
+        norm = mix @ (degree > 0)
+        live = (mix[layer] > 0) & (degree[layer, src] > 0)
+        s, d = src[live], dst[live]
+        p = w[live] * mix[layer[live]] / norm[s] / degree[layer[live], s]
+        restart = np.zeros((len(tie), len(group)))
+        for k, (names, parts) in enumerate(zip(group["node"], group["s"], strict=True)):
+            for x, part in zip(names if names is not None else (), parts if parts is not None else (), strict=True):
+                if x in at:
+                    restart[at[x], k] = part
+        score = walk.kernel(s, d, p, len(tie), restart)
+        out = []
+        for k, (qid, seeds, true) in enumerate(zip(group["qid"], group["seeds"], group["truth"], strict=True)):
+            total = score[:, k] + tie
+            total[[at[x] for x in seeds if x in at] if seeds is not None else slice(None)] = np.nan
+            mine = np.array([at.get(x, -1) for x in true])
+            known = mine[mine >= 0]
+            known = known[~np.isnan(total[known])]
+            pos = [1 + int((total > total[x]).sum()) + int((total[:x] == total[x]).sum()) for x in known]
+            pos += [1 << 30] * (len(mine) - len(pos))
+            out.append((int(group["n"].iloc[0]), qid, 1.0 / min(pos), *(sum(x <= cut for x in pos) / len(pos) for cut in CUTS)))
+        return pd.DataFrame(out, columns=["n", "qid", "rr", *(f"r{cut}" for cut in CUTS)])
+
+    kind = queries.schema["qid"].dataType.simpleString()
+    asked = truth.select("qid", "node").groupBy("qid").agg(F.collect_list("node").alias("truth"))
+    asked = asked.join(queries.groupBy("qid").agg(F.collect_set("seed").alias("seeds")), "qid", "left")
+    asked = asked.join(shares.groupBy("qid").agg(F.collect_list("node").alias("node"), F.collect_list("s").alias("s")), "qid", "left")
+    few = max(1, -(-asked.count() // batch))
+    every = asked.withColumn("n", F.explode(F.array(*(F.lit(n) for n, _ in points)))).withColumn("g", F.pmod(F.hash("qid"), F.lit(few)))
+    return every.groupBy("n", "g").applyInPandas(run, f"n int, qid {kind}, rr double, " + ", ".join(f"r{cut} double" for cut in CUTS))
+
+
+def tune_weights(edges: DataFrame, nodes: DataFrame, queries: DataFrame, truth: DataFrame, candidates: DataFrame, grid: DataFrame, metric: str = "mrr", method: str = "auto", batch: int = 32) -> tuple[dict[str, float], list[tuple[dict[str, float], float]]]:
+    """The grid point with the best mean metric, the first of equals, and every point's value.
+
+    ``method``: ``once`` judges all points in one job, whose tasks hold the edges and ties; ``each`` is a walk of any size
+    for each point; ``auto`` takes the first while edges and candidates are few (``walk.SMALL_EDGES``).
+    """
+    points = [(int(r["n"]), {x: r[x] for x in LAYERS}) for r in grid.orderBy("n").collect()]
+    points = [(n, w) for n, w in points if any(v > 0 for v in w.values())]
     shares = stage(walk.seed_shares(queries, nodes), "shares")
-    results = []
-    for w in points:
-        if not any(v > 0 for v in w.values()):
-            continue
-        scores = walk.pagerank(walk.transition(edges, w), shares, nodes)
-        results.append((w, evaluate_scores(scores, queries, truth, candidates).first()[metric]))
-    return max(results, key=lambda r: r[1])[0], results
+    directed = stage(both_ways(edges.where(F.col("layer").isin(*LAYERS)), "weight").select("layer", "src", "dst", F.col("weight").cast("double").alias("weight")), "directed")
+    candidates = stage(candidates.select("id", "tie"), "candidates")
+    if method == "once" or method == "auto" and max(directed.count(), candidates.count()) <= walk.SMALL_EDGES:
+        found = _tuned_at_once(directed, shares, queries, truth, candidates, points, batch)
+        means = {r["n"]: r for r in found.groupBy("n").agg(F.avg("rr").alias("mrr"), *(F.avg(f"r{k}").alias(f"recall_{k}") for k in CUTS)).collect()}
+        results = [(w, means[n][metric] if n in means else None) for n, w in points]
+    else:
+        results = [(w, evaluate_scores(walk.pagerank(walk.transition(edges, w), shares, nodes), queries, truth, candidates).first()[metric]) for _, w in points]
+    return max(results, key=lambda r: r[1] if r[1] is not None else -1.0)[0], results
 
 
 def time_quantiles(times: DataFrame, fractions: list[float]) -> DataFrame:
@@ -127,8 +228,9 @@ def time_quantiles(times: DataFrame, fractions: list[float]) -> DataFrame:
     rows = [(float(f), min(int(f * n), n - 1)) for f in fractions] if n else []
     wanted = times.sparkSession.createDataFrame(rows, "fraction double, place bigint")
     # Places are counted over distinct times, so that equal times of any number are one row.
-    sums = times.groupBy("ts").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("ts")))
-    return wanted.join(sums, (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).select("fraction", "ts")
+    sums = counts_before(times.groupBy("ts").agg(F.count("*").alias("c")), ["ts"])
+    at = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c"))
+    return sums.join(F.broadcast(wanted), at).select("fraction", "ts")
 
 
 def revision_at(chain: DataFrame, moments: DataFrame) -> DataFrame:
@@ -143,13 +245,18 @@ def revision_at(chain: DataFrame, moments: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(values: DataFrame, column: str, n: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """(lo, hi): percentile interval of the mean over ``n`` resamples of per-query values."""
+    """(lo, hi): percentile interval of the mean over ``n`` resamples of per-query values.
+
+    A resample is drawn as how often each distinct value comes, so one task gets distinct values with their counts.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(group["v"].to_numpy())
-        rng = np.random.default_rng(seed)
-        means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(n)])
+        group = group.sort_values("v")
+        v, c = group["v"].to_numpy(), group["c"].to_numpy(np.int64)
+        size, rng = int(c.sum()), np.random.default_rng(seed)
+        means = np.array([rng.multinomial(size, c / size) @ v / size for _ in range(n)])
         lo, hi = np.quantile(means, [(1 - level) / 2, 1 - (1 - level) / 2])
         return pd.DataFrame({"lo": [float(lo)], "hi": [float(hi)]})
 
-    return values.select(F.col(column).cast("double").alias("v")).groupBy(F.lit(0).alias("g")).applyInPandas(run, "lo double, hi double")
+    counted = values.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    return counted.groupBy(F.lit(0).alias("g")).applyInPandas(run, "lo double, hi double")

@@ -674,7 +674,8 @@ def _measured(spark, d, unique: bool) -> DataFrame:
     truth = cochange.seed_queries(new)
     seeds = truth.select(F.col("seed").alias("qid"), "seed").distinct()
     scores = evaluate.cochange_scores(cochange.cochange_pairs(old, 0, half_life_days=None), seeds)
-    places = stage(evaluate.positions(scores, seeds, files, unique), "places")
+    asked = truth.select(F.col("seed").alias("qid"), F.col("truth").alias("node")).distinct()
+    places = stage(evaluate.positions(scores, seeds, files, asked, unique), "places")
     t = truth.select(F.struct("sha", "seed").alias("q"), F.col("seed").alias("qid"), F.col("truth").alias("node"))
     return evaluate.metrics(t.join(places, ["qid", "node"]).select(F.col("q").alias("qid"), "node", "pos"), t.select(F.col("q").alias("qid"), "node"))
 
