@@ -11,6 +11,7 @@ from weft.model import EDGE_SCHEMA, edge_parts, merge_edges
 from weft.operators import cochange, communities, docs, evaluate, history, modules, rules, structure, walk
 from weft.operators.components import connected_components
 from weft.sources.git import parse_log
+from weft.staging import stage
 from weft.streaming import cochange as stream
 
 
@@ -42,6 +43,20 @@ def test_rules(spark, tx):
     assert {r["qid"]: r["seen"] for r in rules.is_seen(tx, q).collect()} == {0: True, 1: False, 2: False}
 
 
+def test_whole_queries_meet_transactions_at_one_file(spark):
+    """Pairs of query and transaction are made at a query's first file alone, and rows of queries are dealt out once."""
+    rows = [(str(s), 0, f"f{k}") for s in range(40) for k in (0, 1, 2 + s % 3)] + [("x", 0, "f0"), ("x", 0, "f9")] + [(f"y{s}", 0, f) for s in range(50) for f in ("f1", f"g{s}")]
+    tx = stage(cochange.transactions(table(spark, rows, "sha string, ts bigint, file string")), "tx")
+    q = table(spark, [(0, "f1"), (0, "f0"), (1, "f9"), (1, "f2"), (1, "f0"), (2, None), (3, "f3")], "qid int, file string")
+    hit = rules.containing(tx, q)
+    assert {(r["qid"], r["sha"]) for r in hit.collect()} == {(0, str(s)) for s in range(40)} | {(3, str(s)) for s in range(1, 40, 3)}
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    got = {(r["qid"], r["file"]): (r["support"], round(r["confidence"], 3)) for r in rules.largest_overlap_rules(tx, q).collect()}
+    # Query 1 is nowhere whole: f0 and f2 in 14 commits, f0 and f9 in one, each an antecedent of its own.
+    assert got == {(0, "f2"): (14, 0.35), (0, "f3"): (13, 0.325), (0, "f4"): (13, 0.325), (1, "f1"): (14, 1.0), (3, "f0"): (13, 1.0), (3, "f1"): (13, 1.0)}
+
+
 def test_large_commits_are_no_transactions(spark):
     rows = [("x", 0, f"f{k}") for k in range(40)] + [("y", 0, "f1"), ("y", 0, "f2"), ("z", 0, "f1")]
     ch = table(spark, rows, "sha string, ts bigint, file string")
