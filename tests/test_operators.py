@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import paths
-from weft.model import EDGE_SCHEMA, edge_parts, merge_edges
-from weft.operators import cochange, communities, docs, evaluate, history, modules, rules, structure, walk
+from weft.model import EDGE_SCHEMA, FileGraph, edge_parts, merge_edges
+from weft.operators import cochange, communities, docs, evaluate, graph, history, modules, rules, structure, walk
 from weft.operators.components import connected_components
 from weft.sources.git import parse_log
 from weft.staging import stage
@@ -64,6 +64,36 @@ def test_large_commits_are_no_transactions(spark):
     assert {r["file"]: r["changes"] for r in cochange.change_counts(ch).collect()}["f1"] == 3
 
 
+# --- connection paths --------------------------------------------------------
+
+
+def linked(spark, rows):
+    e = edge_parts(table(spark, rows, "layer string, u long, v long, weight double, kind string"))
+    return FileGraph(table(spark, [], "id long"), merge_edges(e), table(spark, [], "file long, community int"))
+
+
+def test_connection_path_takes_few_jobs(spark):
+    g = linked(spark, [("structure", k, k + 1, 1.0, "import") for k in range(60)])
+    spark.sparkContext.setJobGroup("connection", "connection")
+    way = graph.connection_path(g, 60, 0)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("connection")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(x["from"], x["to"], x["layer"]) for x in way] == [(k + 1, k, "structure") for k in range(59, -1, -1)]
+    assert len(jobs) < 30
+
+
+def test_connection_path_kernel_equals_rounds(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(("structure", "evolution")), u, v, rng.uniform(0.5, 3), "x") for u in range(30) for v in range(u + 1, 30) if rng.random() < 0.12]
+    rows += [("docs", 90, 91, 1.0, "x")]
+    g = linked(spark, rows)
+    for a, b in ((0, 29), (17, 3)):
+        assert graph.connection_path(g, a, b, "kernel") == graph.connection_path(g, a, b, "loop") != []
+    for method in ("kernel", "loop"):
+        with pytest.raises(ValueError, match="no chain"):
+            graph.connection_path(g, 0, 91, method)
+
+
 # --- history: the fold, one change after the other ---------------------------
 
 

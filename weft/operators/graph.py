@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,20 +193,63 @@ def shortest_costs(links: DataFrame, source) -> DataFrame:
         state = stage(state.join(changed.select("node"), "node", "left_anti").unionByName(changed), "costs")
 
 
-def connection_path(g: FileGraph, a: str, b: str) -> list[dict]:
-    """The strongest chain of links from a to b, with the layer of each hop; ValueError if there is none."""
+def _cheapest_way(start: list[int], to: list[int], cost: list[float], a: int, b: int) -> list[int] | None:
+    """Places along the cheapest way from a to b, ties to fewer hops, then to the smaller place before (Dijkstra 1959)."""
+    best, done, heap = {a: (0.0, 0, -1)}, set(), [(0.0, 0, a)]
+    while heap:
+        x = heapq.heappop(heap)[2]
+        if x in done:
+            continue
+        done.add(x)
+        if x == b:
+            break
+        c, hops, _ = best[x]
+        for k in range(start[x], start[x + 1]):
+            y, new = to[k], (round(c + cost[k], 12), hops + 1, x)
+            if y not in done and (y not in best or new < best[y]):
+                best[y] = new
+                heapq.heappush(heap, (*new[:2], y))
+    if b not in done:
+        return None
+    way = [b]
+    while way[-1] != a:
+        way.append(best[way[-1]][2])
+    return way[::-1]
+
+
+def connection_path(g: FileGraph, a: str, b: str, method: str = "auto") -> list[dict]:
+    """The strongest chain of links from a to b, with the layer of each hop; ValueError if there is none.
+
+    Up to SMALL_EDGES links, which are counted first, the driver walks over a copy (``kernel``), so the number of jobs
+    does not grow with the hops; beyond, costs come by rounds (``loop``).
+    """
     links = stage(cheapest_links(g.edges), "links")
     for end in (a, b):
         if not links.where((F.col("a") == end) | (F.col("b") == end)).limit(1).count():
             raise ValueError(f"{end!r} has no links in any layer")
     if a == b:
         return []
+    none = ValueError(f"no chain of links connects {a!r} and {b!r}")
+    if method == "kernel" or method == "auto" and links.count() <= walk.SMALL_EDGES:
+        e = links.toArrow()
+        ends, cost, layer = [e[c].to_numpy() for c in "ab"], e["cost"].to_numpy(), e["layer"].to_numpy()
+        ids, flat = np.unique(np.concatenate(ends), return_inverse=True)
+        x, y = flat, np.concatenate([flat[len(cost) :], flat[: len(cost)]])
+        order = np.argsort(x, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(ids)))]).tolist()
+        to, row = y[order].tolist(), order % len(cost)
+        way = _cheapest_way(start, to, cost[row].tolist(), *np.searchsorted(ids, [a, b]).tolist())
+        if way is None:
+            raise none
+        names = ids[way].tolist()
+        used = [layer[row[start[p] + to[start[p] : start[p + 1]].index(q)]] for p, q in zip(way, way[1:])]
+        return [{"from": p, "to": q, "layer": n} for p, q, n in zip(names, names[1:], used)]
     ways = shortest_costs(links, a)
     out, at = [], b
     while at != a:  # one row for each hop
         row = ways.where(F.col("node") == at).first()
         if row is None:
-            raise ValueError(f"no chain of links connects {a!r} and {b!r}")
+            raise none
         out.append({"from": row["via"], "to": at, "layer": row["layer"]})
         at = row["via"]
     return out[::-1]
