@@ -151,7 +151,7 @@ def strongest_neighbors(edges: DataFrame, nodes: DataFrame, per_layer: int = 8)
     """(src, layer, n, path, weight, kinds, commits): the heaviest links of each node by layer; directories go after the cut."""
     e = both_ways(edges, "weight", "kinds", "detail").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
     ranked = e.withColumn("n", F.row_number().over(W.partitionBy("src", "layer").orderBy(F.desc("weight"), "dst"))).where(F.col("n") <= per_layer)
-    return ranked.where(~F.col("dst").startswith("dir:")).select("src", "layer", "n", F.col("dst").alias("path"), F.round("weight", 4).alias("weight"), "kinds", F.col("detail.count").alias("commits"))
+    return ranked.where(~F.col("dst").cast("string").startswith("dir:")).select("src", "layer", "n", F.col("dst").alias("path"), F.round("weight", 4).alias("weight"), "kinds", F.col("detail.count").alias("commits"))
 
 
 def explain_file(g: FileGraph, path: str, per_layer: int = 8) -> dict:

@@ -451,18 +451,7 @@ def central_files(spark, d):
 )
 def explain_file(spark, d):
     g = supplier_graph(spark, d)
-    text = g.edges.withColumn("a", F.col("a").cast("string")).withColumn("b", F.col("b").cast("string"))
-    near = graph.strongest_neighbors(_padded(text), _padded_ids(g.nodes))
-    return near.select(F.col("src").cast("long").alias("src"), "layer", "n", F.col("path").cast("long").alias("path"), "weight", "commits")
-
-
-def _padded(e: DataFrame) -> DataFrame:
-    """Ids as text that sorts as the numbers do."""
-    return e.withColumn("a", F.lpad("a", 12, "0")).withColumn("b", F.lpad("b", 12, "0"))
-
-
-def _padded_ids(n: DataFrame) -> DataFrame:
-    return n.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
+    return graph.strongest_neighbors(g.edges, g.nodes).select("src", "layer", "n", "path", "weight", "commits")
 
 
 _COST = (
